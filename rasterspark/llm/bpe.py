@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, map_batches, table
+from .common import as_text, cut, map_batches, table
 from .lexicon import Lexicon, compile_lexicon
 from .pretokens import byte_level_pieces, byte_symbols
 
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 18
 LEXICON_BYTES = 32
 #: Text handled at once in a worker, and words remembered there.
-SLICE, REMEMBERED, COUNTED = 1 << 20, 1 << 18, 1 << 17
+SLICE, REMEMBERED, COUNTED = 1 << 20, 1 << 19, 1 << 17
+_FAR = 1 << 60
 
 
 def vocabulary_path() -> str:
@@ -52,6 +53,8 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = dict(self.merges.values())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
@@ -63,12 +66,19 @@ class Vocabulary:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        get, far = self.merges.get, (1 << 60, 0)
-        while len(ids) > 1:
-            rank, new, at = min((*get(p, far), i) for i, p in enumerate(zip(ids, ids[1:])))
-            if rank == far[0]:
+        get = self.ranks.get
+        ranks = [get(p, _FAR) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == _FAR:
                 break
-            ids[at : at + 2] = [new]
+            at = ranks.index(least)
+            ids[at : at + 2] = [self.made[least]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((ids[at - 1], ids[at]), _FAR)
+            if at < len(ranks):
+                ranks[at] = get((ids[at], ids[at + 1]), _FAR)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -163,7 +173,14 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    rows = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    # words seen once can't matter before all others do; a table of count sizes then tells which may be among the first
+    counts = cut(word_counts(docs, text_col).filter("n > 1").withColumn("size", F.floor(F.log2("n")).cast("int")))
+    least, above = 0, 0
+    for row in sorted(counts.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        least, above = row["size"], above + row["count"]
+        if above >= size:
+            break
+    rows = counts.filter(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
     v, words = vocabulary(path), Counter()
     for row in rows:
         for piece in byte_level_pieces(" " + row["word"]):
