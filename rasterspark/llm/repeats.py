@@ -19,7 +19,7 @@ from .media import _codec, wire_dictionary
 
 #: Text bytes that a task handles at once, and text bytes for each bucket.
 SLICE = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
 #: Stands for a null id while ids are sorted and joined.
 NULL_ID = -(1 << 63)
@@ -65,7 +65,7 @@ def _blocks(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "ids", "pos"])
 
 
-def repeated_anchors(docs: DataFrame, anchors, n_buckets: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE) -> DataFrame:
     """(doc_id, at array<int>): positions of the anchors whose key another place has too.
 
     ``anchors(texts)`` -> (text number, position, key) arrays for a list of UTF-8 texts.
@@ -74,7 +74,7 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for ids, texts, _ in slices(batch):
+            for ids, texts, _ in slices(batch, limit=limit):
                 owner, pos, keys = anchors(texts)
                 if not len(keys):
                     continue
@@ -89,11 +89,13 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int) -> DataFrame:
                 keep = first | other
                 k = np.where(first, k, mix64(place_id.view(np.uint64) + mix64(place.astype(np.uint64))))
                 mark = np.where(known | ~first, -1 - place, place).astype(np.int32)
-                out = [(b, *parts) for b, parts in by_bucket(bucket_of(k[keep], n_buckets), k[keep], place_id[keep], mark[keep])]
+                # half a key is enough within a bucket: buckets grow with the text, and a clash only adds a candidate
+                half = (k[keep] >> np.uint64(32)).astype(np.uint32)
+                out = [(b, *parts) for b, parts in by_bucket(bucket_of(k[keep], n_buckets), half, place_id[keep], mark[keep])]
                 yield _blocks(out)
 
     def judge(block: pa.Table) -> pa.Table:
-        keys, ids, pos = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("pos", np.int32)))
+        keys, ids, pos = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("keys", np.uint32), ("ids", np.int64), ("pos", np.int32)))
         order = np.argsort(keys)
         k = keys[order]
         same = k[1:] == k[:-1]

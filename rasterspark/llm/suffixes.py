@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, table
+from .media import _codec
 from .repeats import NULL_ID, Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices, with_ids
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
-SHARD = 1 << 20
+SHARD = 1 << 16
+#: Text bytes that a task handles at once.
+SLICE = 2 << 20
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,8 +89,9 @@ def contexts(text: np.ndarray, repeated: np.ndarray):
     """(start, windows, key) of the runs of windows whose anchor repeats; a run has one key and at most SPAN windows."""
     grams, least = choose(text)
     flagged = np.sort(grams[repeated])
-    at = np.minimum(np.searchsorted(flagged, least), len(flagged) - 1)
-    windows = np.flatnonzero(flagged[at] == least)
+    head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    at = np.minimum(np.searchsorted(flagged, least[head]), len(flagged) - 1)
+    windows = np.flatnonzero(np.repeat(flagged[at] == least[head], np.diff(np.append(head, len(least)))))
     if not len(windows):
         return windows, windows, np.zeros(0, np.uint64)
     key = least[windows]
@@ -105,8 +109,15 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Places of ``data`` in the order of their first ``depth`` bytes at least (Larsson-Sadakane refinement)."""
+def suffix_array(data: np.ndarray, room: np.ndarray | None = None, depth: int = LENGTH) -> np.ndarray:
+    """Places of ``data`` in the order of their first ``depth`` bytes at least (Larsson-Sadakane refinement).
+
+    Zero bytes at the very end may tie with the end itself.
+
+    With ``room``, the bytes from each place to the end of its context, only places
+    with ``depth`` bytes of room end in order: a place without room for a step isn't
+    sorted again, and none with room looks at it.
+    """
     n = len(data)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -119,27 +130,29 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group is known by its first place in order
     rank = np.zeros(n + depth + 1, np.int64)  # beyond the end: least
     rank[order] = group + 1
+    tied = np.arange(n)
     while have < depth:
         step = min(have, depth - have)
-        last = np.concatenate((new[1:], [True]))
-        tied = np.flatnonzero(~(new & last))
+        tied = tied[~(new[tied] & np.concatenate((new[1:], [True]))[tied])]
+        if room is not None:
+            tied = tied[room[order[tied]] >= have + step]
         if not len(tied):
             break
         # tied places are sorted by (group, rank of what follows); the rest stay
-        places = order[tied]
+        places, own = order[tied], group[tied]
         follow = rank[places + step].astype(np.uint64)
-        if 2 * int(bits) + 2 + int(len(tied)).bit_length() <= 64:
-            packed = np.sort((group[tied].astype(np.uint64) << bits + np.uint64(1) | follow) << bits | np.arange(len(tied), dtype=np.uint64))
-            by = (packed & low).astype(np.int64)
-            follow = (packed >> bits) & ((low << np.uint64(1)) | np.uint64(1))
+        if 3 * int(bits) + 1 <= 64:
+            packed = np.sort((own.astype(np.uint64) << bits + np.uint64(1) | follow) << bits | number[: len(tied)])
+            places = places[(packed & low).astype(np.int64)]
+            follow = packed >> bits
+            head = np.concatenate(([True], follow[1:] != follow[:-1]))
         else:
-            by = np.lexsort((follow, group[tied]))
-            follow = follow[by]
-        order[tied] = places[by]
-        head = np.concatenate(([True], (group[tied][1:] != group[tied][:-1]) | (follow[1:] != follow[:-1])))
-        new[tied] = head
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order] = group + 1
+            by = np.lexsort((follow, own))
+            places, follow = places[by], follow[by]
+            head = np.concatenate(([True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])))
+        order[tied], new[tied] = places, head
+        group[tied] = own = np.maximum.accumulate(np.where(head, tied, 0))
+        rank[places] = own + 1
         have += step
     return order
 
@@ -148,20 +161,38 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Bytes in common, up to ``most`` at least, of each place in ``order`` and the one before it.
 
     Kasai's rule: a place whose predecessor moved on with it has one byte less in
-    common than the place before. Only the others are compared.
+    common than the place before, as long as that had any. Only the others are compared.
     """
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n + 1, -2)  # -2: not in order
+    if len(order):
+        before[order[0]] = -1
     before[order[1:]] = order[:-1]
-    moved = np.zeros(n, bool)
-    moved[1:] = (before[1:] == before[:-1] + 1) & (before[1:] > 0)
-    own = np.flatnonzero(~moved)
+    places = np.flatnonzero(before[:n] > -2)
+    moved = (before[places] == before[places - 1] + 1) & (before[places] > 0) & (before[places - 1] >= 0)
+    moved[:1] = False
     eight = np.concatenate((_eights(data), np.zeros(8, np.uint64)))
-    # compared to most bytes beyond what a run of moves takes away
-    runs = np.diff(np.append(own, n))
-    want = most + runs
-    common, live = np.zeros(len(own), np.int64), np.flatnonzero(before[own] >= 0)
-    a, b = own, before[own]
+    count = np.arange(len(places))
+    first, fresh = np.zeros(len(places), np.int64), np.flatnonzero(~moved)
+    while len(fresh):
+        # compared to most bytes beyond what a run of moves takes away
+        lead = np.flatnonzero(~moved)
+        run = np.diff(np.append(lead, len(places)))[np.searchsorted(lead, fresh)]
+        first[fresh] = _compare(eight, n, places[fresh], before[places[fresh]], most + run)
+        at = np.maximum.accumulate(np.where(~moved, count, 0))
+        left = first[at] - (count - at)
+        # behind the first byte that differs nothing is known: compare anew
+        fresh = np.flatnonzero(left == -1)
+        moved[fresh] = False
+    value = np.zeros(n, np.int64)
+    if len(places):
+        value[places] = left
+    return value[order]
+
+
+def _compare(eight: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Bytes in common from places a and b (none if b is negative), exact below ``want``."""
+    common, live = np.zeros(len(a), np.int64), np.flatnonzero(b >= 0)
     while len(live):
         x, y = a[live] + common[live], b[live] + common[live]
         inside = (x < n) & (y < n)
@@ -169,11 +200,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         same = np.where(differ == 0, 8, (64 - _bit_length(differ)) // 8)
         common[live] += np.where(inside, same, 0)
         live = live[inside & (same == 8) & (common[live] < want[live])]
-    at = np.maximum.accumulate(np.where(~moved, np.arange(n), 0))
-    value = np.zeros(n, np.int64)
-    value[own] = common
-    permuted = np.maximum(value[at] - (np.arange(n) - at), 0)
-    return permuted[order]
+    return np.minimum(common, n - np.maximum(a, b))
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -186,16 +213,12 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return out + 8 * (x > 0)  # to whole bytes
 
 
-def shard_verdict(data: np.ndarray, starts: np.ndarray, doc_of: np.ndarray):
+def shard_verdict(data: np.ndarray, lengths: np.ndarray, starts: np.ndarray, doc_of: np.ndarray):
     """Least document of each start's string within the shard, and the starts in order with their groups."""
-    order = suffix_array(data)
-    prefix = common_prefixes(data, order, LENGTH)
-    # places between two starts that aren't starts themselves pass on the least prefix
-    wanted = np.zeros(len(data), bool)
-    wanted[starts] = True
-    block = np.cumsum(prefix < LENGTH)
-    is_start = wanted[order]
-    place, group = order[is_start], block[is_start]
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
+    order = suffix_array(data, room)
+    place = order[room[order] >= LENGTH]  # the starts, in order
+    group = np.cumsum(common_prefixes(data, place, LENGTH) < LENGTH)
     number = np.zeros(len(data), np.int64)
     number[starts] = np.arange(len(starts))
     at = number[place]
@@ -246,12 +269,12 @@ def judge_contexts(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, docs
         windows = lengths[rows] - LENGTH + 1
         starts = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
         owner = np.repeat(np.arange(len(rows)), windows)
-        least, at, head = shard_verdict(own, starts, docs[rows][owner])
+        least, at, head = shard_verdict(own, lengths[rows], starts, docs[rows][owner])
         results.append([rows, own, first, starts, owner, least, at, head])
     # keys that lie in more than one shard
     broken = {int(keys[order[c]]) for c in cut[1:-1] if keys[order[c]] == keys[order[c - 1]]}
     if broken:
-        wanted = np.array(sorted(broken), np.uint64)
+        wanted = np.array(sorted(broken), keys.dtype)
         merged, value = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64)
         parts = []
         for rows, own, _, starts, owner, least, at, head in results:
@@ -274,7 +297,7 @@ def judge_contexts(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, docs
 
 
 _BLOCK = "bucket int, data binary, lengths binary, keys binary, ids binary, times binary, starts binary, known binary"
-_FIELDS = (("data", np.uint8), ("lengths", np.int32), ("keys", np.uint64), ("ids", np.int64), ("times", np.int32), ("starts", np.int32), ("known", np.uint64))
+_FIELDS = (("data", np.uint8), ("lengths", np.int32), ("keys", np.uint32), ("ids", np.int64), ("times", np.int32), ("starts", np.int32), ("known", np.uint64))
 
 
 def _content(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -292,10 +315,11 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
     """(doc_id, runs array<struct<start, bits>>): removed windows, 64 from ``start`` at most. ``docs(doc_id, packed, at)``."""
 
     def send(batches):
+        press = _codec(wire.dictionary)[0]
         for batch in batches:
             ready = pa.RecordBatch.from_arrays([batch.column(0), wire.unpack(batch.column(1))], names=["doc_id", "text"])
             marks = lists_of(batch.column(2))
-            for ids, texts, rows in slices(ready):
+            for ids, texts, rows in slices(ready, limit=SLICE):
                 found, base = [], 0
                 whole = np.frombuffer(b"".join(texts), np.uint8)
                 for i, (t, r) in enumerate(zip(texts, rows.tolist())):
@@ -336,13 +360,15 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
                 out = []
                 for b, (which,) in by_bucket(bucket_of(keys[leads], n_buckets), np.arange(len(leads))):
                     c = leads[which]
-                    out.append([b, gather(whole, at[c], lengths[c]), lengths[c].astype(np.int32), keys[c], doc[c], times[which].astype(np.int32), gather(occurrences, first_of[which], times[which]).astype(np.int32), np.zeros(len(c), np.uint64)])
+                    out.append([b, gather(whole, at[c], lengths[c]), lengths[c].astype(np.int32), (keys[c] >> np.uint64(32)).astype(np.uint32), doc[c], times[which].astype(np.int32), gather(occurrences, first_of[which], times[which]).astype(np.int32), np.zeros(len(c), np.uint64)])
                 for b, (which,) in by_bucket(bucket_of(mix64(doc[gone].view(np.uint64) + start[gone].astype(np.uint64)), n_buckets), gone):
-                    out.append([b, np.zeros(0, np.uint8), np.zeros(len(which), np.int32), np.zeros(len(which), np.uint64), doc[which], np.ones(len(which), np.int32), start[which].astype(np.int32), all_bits[which]])
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k + 1].tobytes() for r in out], pa.binary()) for k in range(len(_FIELDS)))], names=["bucket", *(f for f, _ in _FIELDS)])
+                    out.append([b, np.zeros(0, np.uint8), np.zeros(len(which), np.int32), np.zeros(len(which), np.uint32), doc[which], np.ones(len(which), np.int32), start[which].astype(np.int32), all_bits[which]])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([press.compress(r[1].tobytes()) for r in out], pa.binary()), *(pa.array([r[k + 1].tobytes() for r in out], pa.binary()) for k in range(1, len(_FIELDS)))], names=["bucket", *(f for f, _ in _FIELDS)])
 
     def judge(block: pa.Table) -> pa.Table:
-        data, lengths, keys, ids, times, starts, known = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in _FIELDS)
+        plain = _codec(wire.dictionary)[1]
+        data = np.frombuffer(b"".join(plain.decompress(b) for b in block.column("data").to_pylist()), np.uint8)
+        lengths, keys, ids, times, starts, known = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in _FIELDS[1:])
         bits, open_ = known.copy(), np.flatnonzero(lengths > 0)
         if len(open_):
             bits[open_] = judge_contexts(data, lengths[open_].astype(np.int64), keys[open_], ids[open_])
@@ -366,7 +392,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = with_ids(docs, id_col, text_col)
     wire, n = Wire(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), buckets_for(rows)
     packed = wire.packed(rows)
-    marked = packed.join(repeated_anchors(rows, _anchors, n), "doc_id", "left")
+    marked = packed.join(repeated_anchors(rows, _anchors, n, SLICE), "doc_id", "left")
     return packed.join(removed_starts(marked, wire, n), "doc_id", "left"), wire
 
 
