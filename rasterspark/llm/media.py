@@ -97,8 +97,8 @@ def distinct_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return keyed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id")), keyed
 
 
-_PARTS = pa.list_(pa.struct([("seq", pa.int32()), ("bytes", pa.binary())]))
-_PARTS_SQL = "array<struct<seq:int,bytes:binary>>"
+_PARTS = pa.list_(pa.struct([("seq", pa.int32()), ("bytes", pa.binary()), ("lent", pa.binary())]))
+_PARTS_SQL = "array<struct<seq:int,bytes:binary,lent:binary>>"
 #: Text sampled to train the dictionary that shortens documents on their way to the store.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY = 2000, 2048, 1 << 16
 
@@ -141,14 +141,14 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 def store_media(docs: DataFrame, firsts: DataFrame) -> str:
     """Writes the chunk store for the ids in ``firsts(doc_id)`` to the shared folder; returns its path.
 
-    A row of the store: (doc_id, listed array<struct<seq, digest, length, own>>, chunks
-    array<struct<seq, bytes>>): the whole ordered list of a document and the bytes of the
-    chunks that it owns.
+    A row of the store: (doc_id, listed array<struct<seq, digest, length, own, shared>>, chunks
+    array<struct<seq, bytes, lent>>): the whole ordered list of a document and the bytes of
+    the chunks that it owns, with the digest of those that others need too.
     """
     spark = docs.sparkSession
     lists = cut(chunk_lists(docs).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "seq"]))
-    owners = lists.groupBy("digest").agg(F.min(F.struct("doc_id", "seq")).alias("owner"))
-    owned = lists.join(owners, "digest").select("doc_id", F.struct("seq", "digest", "length", (F.struct("doc_id", "seq") == F.col("owner")).alias("own")).alias("c"))
+    owners = lists.groupBy("digest").agg(F.min(F.struct("doc_id", "seq")).alias("owner"), (F.count("*") > 1).alias("shared"))
+    owned = lists.join(owners, "digest").select("doc_id", F.struct("seq", "digest", "length", (F.struct("doc_id", "seq") == F.col("owner")).alias("own"), "shared").alias("c"))
     manifest = owned.groupBy("doc_id").agg(F.collect_list("c").alias("listed"))
     dictionary = wire_dictionary(docs)
 
@@ -163,12 +163,12 @@ def store_media(docs: DataFrame, firsts: DataFrame) -> str:
             own = []
             for packed, listed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = chunks(to_media(padded(unpack.decompress(packed))))
-                own.append([{"seq": c["seq"], "bytes": parts[c["seq"]]} for c in listed if c["own"]])
+                own.append([{"seq": c["seq"], "bytes": parts[c["seq"]], "lent": c["digest"] if c["shared"] else None} for c in listed if c["own"]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, _PARTS)], names=["doc_id", "listed", "chunks"])
 
     path = fresh_path(spark, "chunks")
     rows = docs.mapInArrow(shortened, "doc_id long, packed binary").join(manifest, "doc_id").dropDuplicates(["doc_id"])
-    listed_sql = "array<struct<seq:int,digest:binary,length:int,own:boolean>>"
+    listed_sql = "array<struct<seq:int,digest:binary,length:int,own:boolean,shared:boolean>>"
     rows.mapInArrow(stored, f"doc_id long, listed {listed_sql}, chunks {_PARTS_SQL}").write.option("compression", "zstd").parquet(path)
     return path
 
@@ -183,10 +183,10 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     whole = F.forall("listed", lambda c: c["own"])
     lacking = store.filter(~whole)
     wanted = lacking.select("doc_id", F.explode(F.filter("listed", lambda c: ~c["own"])).alias("c")).select("doc_id", "c.seq", "c.digest")
-    digest_of = F.map_from_entries(F.transform(F.filter("listed", lambda c: c["own"]), lambda c: F.struct(c["seq"], c["digest"])))
-    owned = store.withColumn("of", digest_of).select("of", F.explode("chunks").alias("c")).select(F.element_at("of", F.col("c.seq")).alias("digest"), "c.bytes")
+    # only chunks that others need too are sent
+    owned = store.select(F.explode(F.filter("chunks", lambda c: c["lent"].isNotNull())).alias("c")).select(F.col("c.lent").alias("digest"), "c.bytes")
     lent = owned.join(wanted.select("digest").distinct(), "digest", "left_semi")
-    fetched = wanted.join(lent, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("seq", "bytes")).alias("fetched"))
+    fetched = wanted.join(lent, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("seq", "bytes", F.lit(None).cast("binary").alias("lent"))).alias("fetched"))
     none = F.array().cast(_PARTS_SQL)
     joined = lacking.join(fetched, "doc_id", "left").select("doc_id", "listed", "chunks", F.coalesce("fetched", none).alias("fetched"))
     rows = store.filter(whole).select("doc_id", "listed", "chunks", none.alias("fetched")).union(joined)
