@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, cut, map_batches, table
+from .common import as_text, cut, held, map_batches, table
 from .lexicon import Lexicon, compile_lexicon
 from .pretokens import byte_level_pieces, byte_symbols
 
 LEXICON_WORDS = 1 << 18
 LEXICON_BYTES = 32
 #: Text handled at once in a worker, and words remembered there.
-SLICE, REMEMBERED, COUNTED = 1 << 20, 1 << 19, 1 << 17
+SLICE, REMEMBERED, COUNTED = 1 << 20, 1 << 18, 1 << 17
 _FAR = 1 << 60
 
 
@@ -189,15 +189,9 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
     return compile_lexicon({b: v.merge(b) for w in chosen if len(b := w.encode()) <= LEXICON_BYTES})
 
 
-_encoders: dict = {}
-
-
 def _encoder(path: str, block) -> Encoder:
     """One per worker process and lexicon."""
-    if block.id not in _encoders:
-        _encoders.clear()
-        _encoders[block.id] = Encoder(path, block.value)
-    return _encoders[block.id]
+    return held(("bpe", block.id), lambda: Encoder(path, block.value))
 
 
 class _Block:
@@ -239,7 +233,7 @@ def _encoded(docs, path, text_col, id_col, digest):
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.string())], names=["doc_id", "ids", "decoded"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, schema, keep=("bpe", block.id))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,21 +56,36 @@ def as_text(column: pa.Array) -> list[str]:
     return [s or "" for s in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one thing at most, so that operators in one session don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go(keep=None) -> None:
+    for key in [k for k in _held if k != keep]:
+        del _held[key]
+
+
+def map_batches(df: DataFrame, columns: list[str], function, schema: str, keep=None) -> DataFrame:
     """``function(batch)`` gives a dict of columns (or None) for every Arrow batch of the named columns.
 
     Columns beside those named are never read, so clashing names do no harm.
     """
-    arrow = pa.schema([])
 
     def run(batches):
+        let_go(keep)
         for batch in batches:
             if batch.num_rows:
                 out = function(batch)
                 if out is not None:
                     yield out
 
-    del arrow
     return df.select(*columns).mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import held, mix64, table
 from .repeats import NULL_ID, Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices, with_ids
 
 WINDOW, ROUNDS = 20, 4
@@ -136,11 +136,8 @@ def _anchors(texts):
     return word_anchors(_words())(texts)
 
 
-_held: dict = {}
-
-
 def _words() -> Words:
-    return _held.setdefault("words", Words())
+    return held("words", Words)
 
 
 def candidate_windows(texts: list[bytes], repeated: list[np.ndarray]):
