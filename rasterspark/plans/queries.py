@@ -72,15 +72,15 @@ def sniff(spark, sf_dir):
     return docs.select("doc_id", reader.is_container(F.coalesce("text", F.lit("")).cast("binary")).alias("is_container"))
 
 
-def _pixel(name, build, columns_sql):
-    """A query of per-pixel columns; results are rounded to 6 places."""
+def _pixel(name, build, columns_sql, places=6):
+    """A query of per-pixel columns; results are rounded, to more places where exact halves of the sixth occur."""
 
     def run(spark, sf_dir):
         df = frames(spark, sf_dir)
-        return df.select("frame", "y", "x", *[F.round(c, 6).alias(n) for n, c in build(F.col("v")).items()])
+        return df.select("frame", "y", "x", *[F.round(c, places).alias(n) for n, c in build(F.col("v")).items()])
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"WITH {_FRAMES_SQL} SELECT frame, y, x, {', '.join(f'round({s}, 6) AS {n}' for n, s in columns_sql.items())} FROM frames"
+    ORACLE_SQL[name] = f"WITH {_FRAMES_SQL} SELECT frame, y, x, {', '.join(f'round({s}, {places}) AS {n}' for n, s in columns_sql.items())} FROM frames"
 
 
 _R, _G, _B = "(v / 4096.0)", "(v / 8192.0)", "((4096.0 - v) / 4096.0)"
@@ -107,9 +107,9 @@ _pixel("sepia", lambda v: _named(color.sepia(_rgb(v), 0.5)), {n: f"least(1.0, {_
 _HUE = ["(2 * cos(0.25 * pi()) + 1) / 3", "(-sqrt(3.0) * sin(0.25 * pi()) - cos(0.25 * pi()) + 1) / 3", "(sqrt(3.0) * sin(0.25 * pi()) - cos(0.25 * pi()) + 1) / 3"]
 _TURN = [f"({_R} * {_HUE[a]} + {_G} * {_HUE[b]} + {_B} * {_HUE[c]})" for a, b, c in ((0, 1, 2), (2, 0, 1), (1, 2, 0))]
 _pixel("hue_saturation", lambda v: _named(color.hue_saturation(_rgb(v), 0.25, 0.5)), {n: f"{t} + (({_TURN[0]} + {_TURN[1]} + {_TURN[2]}) / 3 - {t}) * (1 - 1 / (1.001 - 0.5))" for n, t in zip("rgb", _TURN)})
-_pixel("brightness_contrast", lambda v: {"v": color.brightness_contrast(v / 4096.0, 0.1, 0.25)}, {"v": "(v / 4096.0 + 0.1 - 0.5) / (1 - 0.25) + 0.5"})
+_pixel("brightness_contrast", lambda v: {"v": color.brightness_contrast(v / 4096.0, 0.1, 0.25)}, {"v": f"(v / 4096.0 + 0.1 - 0.5) * {1 / 0.75!r}e0 + 0.5"}, 12)
 _TOP, _MEAN = f"greatest({_R}, {_G}, {_B})", f"(({_R} + {_G} + {_B}) / 3)"
-_pixel("vibrance", lambda v: _named(color.vibrance(_rgb(v), 0.4)), {n: f"{c} + ({_TOP} - {c}) * ({_TOP} - {_MEAN}) * (-1.2)" for n, c in zip("rgb", (_R, _G, _B))})
+_pixel("vibrance", lambda v: _named(color.vibrance(_rgb(v), 0.4)), {n: f"{c} + ({_TOP} - {c}) * (({_TOP} - {_MEAN}) * ({-3 * 0.4!r}e0))" for n, c in zip("rgb", (_R, _G, _B))}, 12)
 _T = "(v / 4096.0 * 4)"
 _pixel("pseudo_color", lambda v: _named(color.pseudo_color(v / 4096.0)), {"r": f"greatest(0.0, least({_T} - 2, 1.0))", "g": f"least({_T}, 1.0, 4 - {_T})", "b": f"greatest(0.0, least(1.0, 2 - {_T}))"})
 
