@@ -26,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, mix64, table
+from .common import bounded_slices, held, mix64, table
 from .repeats import NULL_ID, Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices, with_ids
 
 WINDOW, ROUNDS = 20, 4
 REMEMBERED = 1 << 18
+#: Words of texts that are handled as one array; a longer text stands alone.
+GROUP = 1 << 16
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _I1 = pow(_B1, -1, 1 << 64)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -43,40 +46,51 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+class _Rows(dict):
+    """The row of each word; a new word gets the next one and its digest is put aside."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(xxhash.xxh3_128_digest(word))
+        return at
+
+
 class Words:
     """Words of texts as two 64-bit hashes each; remembers words."""
 
     def __init__(self):
-        self.row, self.one, self.two = {}, [], []
+        self.row, self.hashes = _Rows(), np.zeros((0, 2), np.uint64)
 
     def __call__(self, texts: list[bytes]):
         """(first hash, second hash, words of each text)."""
         if len(self.row) > REMEMBERED:
             self.__init__()
-        rows, sizes, row = [], [], self.row
+        row = self.row.__getitem__
+        at, sizes = [], []
         for t in texts:
             own = t.split()
-            for w in own:
-                if w not in row:
-                    row[w] = len(self.one)
-                    h = xxhash.xxh3_128_intdigest(w)
-                    self.one.append(h & 0xFFFFFFFFFFFFFFFF)
-                    self.two.append(h >> 64)
-            rows += map(row.__getitem__, own)
+            at.append(np.fromiter(map(row, own), np.int32, len(own)))
             sizes.append(len(own))
-        at = np.array(rows, np.int64)
-        return np.array(self.one, np.uint64)[at] if len(at) else np.zeros(0, np.uint64), np.array(self.two, np.uint64)[at] if len(at) else np.zeros(0, np.uint64), np.array(sizes, np.int64)
+        if self.row.fresh:
+            new = np.frombuffer(b"".join(self.row.fresh), ">u8").astype(np.uint64).reshape(-1, 2)
+            self.hashes = np.concatenate((self.hashes, new))
+            self.row.fresh = []
+        rows = np.concatenate(at) if at else np.zeros(0, np.int32)
+        return self.hashes[rows, 1], self.hashes[rows, 0], np.array(sizes, np.int64)
 
 
 def symbols(words: np.ndarray, rounds: int = ROUNDS):
-    """(names, first word, end) of the symbols after all rounds; the span holds every word that a symbol depends on."""
+    """(names, own first word, first word, end) of the symbols after all rounds; the span from first word to end holds every word that a symbol depends on."""
     n = len(words)
-    start = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-    end = np.append(start[1:], n)
-    length = end - start
-    name = np.where(length > 1, mix64(words[start] * np.uint64(3) + length.astype(np.uint64)), words[start])
+    begin = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    end = np.append(begin[1:], n)
+    length = end - begin
+    name = np.where(length > 1, mix64(words[begin] * np.uint64(3) + length.astype(np.uint64)), words[begin])
     # what stands at a text's ends isn't known within a window: spans may reach one place beyond
-    low, high = start - 1, end + 1
+    low, high = begin - 1, end + 1
     for t in range(rounds):
         m = len(name)
         left = (mix64(name + np.uint64(t + 1)) & np.uint64(1)).astype(bool)
@@ -88,45 +102,66 @@ def symbols(words: np.ndarray, rounds: int = ROUNDS):
         paired, to_left = pair[keep], left[keep]
         merged = np.where(paired, mix64(name[keep] ^ mix64(name[after] + np.uint64(t + 1))), name[keep])
         # a lone left symbol depends on the next one, a lone right symbol on the one before
-        low, high, name = np.where(paired | to_left, low[keep], low[before]), np.where(paired | to_left, high[after], high[keep]), merged
-    return name, low, high
+        right = paired | to_left
+        low, high, name, begin = np.where(right, low[keep], low[before]), np.where(right, high[after], high[keep]), merged, begin[keep]
+    return name, begin, low, high
 
 
-def revealing(words: np.ndarray, window: int = WINDOW):
-    """For each window of one text the number of its revealing symbol (-1: none), and the symbols' spans and keys."""
-    name, low, high = symbols(words)
-    starts = np.arange(len(words) - window + 1)
+def revealing(words: np.ndarray, starts: np.ndarray, window: int = WINDOW):
+    """The revealing symbol of each window that starts at ``starts`` (-1: none), and the symbols' own first words, spans and keys.
+
+    ``words`` may hold many texts one after another: a symbol that depends on words
+    of two texts lies in no window of either.
+    """
+    name, begin, low, high = symbols(words)
     first, last = np.searchsorted(low, starts, "left"), np.searchsorted(high, starts + window, "right")
     weight = mix64(name ^ np.uint64(0xA5A5A5A5))
-    best, choice = np.full(len(starts), np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(len(starts), -1)
-    for k in range(int((last - first).max(initial=0))):
-        at = first + k
-        inside = at < last
-        w = np.where(inside, weight[np.minimum(at, len(name) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
-        # of equal weights the last counts
-        better = inside & (w <= best)
-        best, choice = np.where(better, w, best), np.where(better, at, choice)
+    # the least weight of 2^j symbols from each on; of equal weights the last counts
+    m = len(name)
+    least = [np.arange(m, dtype=np.int32)]
+    while 2 << (len(least) - 1) <= (last - first).max(initial=0):
+        a, step = least[-1], 1 << (len(least) - 1)
+        b = a[np.minimum(np.arange(m) + step, m - 1)]
+        least.append(np.where(weight[b] <= weight[a], b, a))
+    choice = np.full(len(starts), -1)
+    count = last - first
+    for j, of in enumerate(least):
+        which = np.flatnonzero((count >= 1 << j) & (count < 2 << j))
+        if len(which):
+            a, b = of[first[which]], of[last[which] - (1 << j)]
+            choice[which] = np.where(weight[b] <= weight[a], b, a)
     # the key stands for all words that the symbol depends on
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(_B1, len(words)), dtype=np.uint64)))
     low_at, high_at = np.maximum(low, 0), np.minimum(high, len(words))
     key = mix64((total[high_at] - total[low_at]) * _powers(_I1, len(words) + 1)[low_at] + (high - low).astype(np.uint64))
-    return choice, low, high, key
+    return choice, begin, low, high, key
+
+
+def _groups(sizes: np.ndarray, limit: int):
+    """(first text, end, first word, end word, first word of each text in the group, owner and start of each window) of groups of texts that have windows."""
+    edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    for a, b in bounded_slices(sizes, limit):
+        n, base = np.maximum(sizes[a:b] - WINDOW + 1, 0), edge[a:b] - edge[a]
+        if n.any():
+            owner = np.repeat(np.arange(b - a), n)
+            yield a, b, int(edge[a]), int(edge[b]), base, owner, np.arange(len(owner)) + (base - (np.cumsum(n) - n))[owner]
 
 
-def word_anchors(words_of: Words):
+def word_anchors(words_of: Words, group: int = GROUP):
+    """For texts (text number, position, key) of the symbols that reveal a window; the position is the symbol's own first word."""
+
     def anchors(texts: list[bytes]):
         one, _, sizes = words_of(texts)
-        owners, positions, keys, at = [], [], [], 0
-        for i, n in enumerate(sizes.tolist()):
-            if n >= WINDOW:
-                choice, _, _, key = revealing(one[at : at + n])
-                used = np.unique(choice[choice >= 0])
-                owners.append(np.full(len(used), i))
-                positions.append(used)
-                keys.append(key[used])
-            at += n
-        if not keys:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        owners, positions, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, _, at, end, base, owner, starts in _groups(sizes, group):
+            choice, begin, _, _, key = revealing(one[at:end], starts)
+            is_used = np.zeros(len(begin) + 1, bool)
+            is_used[choice] = True
+            used = np.flatnonzero(is_used[:-1])
+            text = np.searchsorted(base, begin[used], "right") - 1
+            owners.append(text + a)
+            positions.append(begin[used] - base[text])
+            keys.append(key[used])
         return np.concatenate(owners), np.concatenate(positions), np.concatenate(keys)
 
     return anchors
@@ -140,29 +175,26 @@ def _words() -> Words:
     return held("words", Words)
 
 
-def candidate_windows(texts: list[bytes], repeated: list[np.ndarray]):
+def candidate_windows(texts: list[bytes], repeated: list[np.ndarray], group: int = GROUP):
     """(text number, start, hash, hash) of the windows to verify."""
     one, two, sizes = _words()(texts)
-    out, at = [], 0
-    for i, n in enumerate(sizes.tolist()):
-        a, b = one[at : at + n], two[at : at + n]
-        at += n
-        if n < WINDOW:
-            continue
-        choice, low, _, _ = revealing(a)
-        flag = np.zeros(len(low) + 1, bool)
-        flag[-1] = True  # windows without a symbol
-        flag[repeated[i]] = True
-        starts = np.flatnonzero(flag[choice])
-        if len(starts):
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for first, last, at, end, base, owner, starts in _groups(sizes, group):
+        a, b = one[at:end], two[at:end]
+        choice, begin, _, _, _ = revealing(a, starts)
+        marked = np.zeros(len(a), bool)
+        for i in range(first, last):
+            marked[repeated[i] + base[i - first]] = True
+        flag = np.append(marked[begin], True)  # the last: windows without a symbol
+        some = np.flatnonzero(flag[choice])
+        if len(some):
+            owner, starts = owner[some], starts[some]
             h1, h2 = (np.zeros(len(starts), np.uint64) for _ in range(2))
             for k in range(WINDOW):
                 h1 = (h1 + a[starts + k]) * np.uint64(_B1)
                 h2 = (h2 ^ b[starts + k]) * np.uint64(_B2)
                 h2 ^= h2 >> np.uint64(29)
-            out.append((np.full(len(starts), i), starts, h1, h2))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            out.append((owner + first, starts - base[owner], h1, h2))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -202,9 +234,16 @@ def later_windows(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
         later = (doc != doc[lead]) | (at != at[lead])
-        return pa.table({"doc_id": pa.array(np.concatenate((ids[known], doc[later])), pa.int64()), "pos": pa.array(np.concatenate((-1 - pos[known], at[later])).astype(np.int32), pa.int32())})
-
-    return docs.mapInArrow(send, _BLOCK).groupBy("bucket").applyInArrow(judge, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+        doc, at = np.concatenate((ids[known], doc[later])), np.concatenate((-1 - pos[known], at[later])).astype(np.int32)
+        # one row for each document of the bucket
+        by = np.argsort(doc, kind="stable")
+        doc, at = doc[by], at[by]
+        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(edge, len(doc)).astype(np.int32), pa.int32())
+        return pa.table({"doc_id": pa.array(doc[edge], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(at, pa.int32()))})
+
+    judged = docs.mapInArrow(send, _BLOCK).groupBy("bucket").applyInArrow(judge, "doc_id long, at array<int>")
+    return judged.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire]:
