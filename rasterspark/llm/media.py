@@ -101,6 +101,8 @@ _PARTS = pa.list_(pa.struct([("seq", pa.int32()), ("bytes", pa.binary()), ("lent
 _PARTS_SQL = "array<struct<seq:int,bytes:binary,lent:binary>>"
 #: Text sampled to train the dictionary that shortens documents on their way to the store.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY = 2000, 2048, 1 << 16
+#: The store is read more often than it is written: a higher level than that of other exchanges.
+STORE_LEVEL = 6
 
 
 def wire_dictionary(docs: DataFrame) -> bytes:
@@ -114,11 +116,11 @@ def wire_dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
-def _codec(dictionary: bytes):
+def _codec(dictionary: bytes, level: int = 3):
     import zstandard
 
     own = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    return zstandard.ZstdCompressor(level=3, **own), zstandard.ZstdDecompressor(**own)
+    return zstandard.ZstdCompressor(level=level, **own), zstandard.ZstdDecompressor(**own)
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def store_media(docs: DataFrame, firsts: DataFrame) -> str:
     dictionary = wire_dictionary(docs)
 
     def shortened(batches):
-        press = _codec(dictionary)[0]
+        press = _codec(dictionary, STORE_LEVEL)[0]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(b) for b in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "packed"])
 
@@ -169,7 +171,7 @@ def store_media(docs: DataFrame, firsts: DataFrame) -> str:
     path = fresh_path(spark, "chunks")
     rows = docs.mapInArrow(shortened, "doc_id long, packed binary").join(manifest, "doc_id").dropDuplicates(["doc_id"])
     listed_sql = "array<struct<seq:int,digest:binary,length:int,own:boolean,shared:boolean>>"
-    rows.mapInArrow(stored, f"doc_id long, listed {listed_sql}, chunks {_PARTS_SQL}").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(stored, f"doc_id long, listed {listed_sql}, chunks {_PARTS_SQL}").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORE_LEVEL).parquet(path)
     return path
 
 
