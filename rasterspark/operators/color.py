@@ -124,4 +124,5 @@ def pseudo_color(v: Column) -> RGB:
 
 def color_name(code: Column) -> Column:
     """Letters of the colour filter codes 0 to 6."""
-    return F.coalesce(F.element_at(F.array(*map(F.lit, "RGBCMYW")), F.when(code.between(0, 6), code + 1)), F.lit("?"))
+    # no null index: element_at takes it for the last place
+    return F.when(code.between(0, 6), F.element_at(F.array(*map(F.lit, "RGBCMYW")), code.cast("int") + 1)).otherwise("?")

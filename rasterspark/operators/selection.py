@@ -18,3 +18,9 @@ def layer(images: DataFrame, number: int, key: str = "path", idx: str = "image_i
     rows = images.filter(F.col(idx) <= number)
     best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(idx)).alias("_best"))
     return best.select(key, "_best.*")
+
+
+def point(pixels: DataFrame, sizes: DataFrame, x: int, y: int, key: tuple[str, ...] = ("path", "image_idx")) -> DataFrame:
+    """The samples of each image at (x, y), moved to its edge if beyond; ``sizes(*key, width, height)`` holds one row an image."""
+    at = sizes.select(*key, F.greatest(F.lit(0), F.least(F.lit(x), F.col("width") - 1)).alias("x"), F.greatest(F.lit(0), F.least(F.lit(y), F.col("height") - 1)).alias("y"))
+    return pixels.join(at, [*key, "x", "y"], "left_semi")

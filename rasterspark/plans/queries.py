@@ -204,3 +204,120 @@ def mean_level(spark, sf_dir):
     best = selection.largest(reader.images(files).select("path", "image_idx", "width", "white_level")).select("path", "image_idx", F.element_at("white_level", 1).alias("white"))
     level = color.black_subtract(F.col("v"), F.lit(256.0), F.col("white"))
     return px.join(best, ["path", "image_idx"]).groupBy(F.col("path").cast("long").alias("path")).agg(F.avg(level).alias("mean_level"))
+
+
+for _k in range(1, 8):
+    QUERIES[f"ljpeg_predictor{_k}"], ORACLE_SQL[f"ljpeg_predictor{_k}"] = _round_trip(bits=12, compression="ljpeg", ljpeg_predictor=_k), _SAME
+
+
+def _ten_bits(df):
+    return df.withColumn("v", F.floor(F.col("v") / 4.0).cast("double"))
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT frame, y, x, floor(v / 4) AS v FROM frames")
+def unpack10(spark, sf_dir):
+    px = _ten_bits(frames(spark, sf_dir)).select(F.col("frame").cast("string").alias("path"), F.lit(0).alias("image_idx"), "y", "x", F.lit(0).alias("c"), "v")
+    return reader.pixels(reader.rasters(sinks.to_containers(px, bits=10))).select(F.col("path").cast("long").alias("frame"), "y", "x", "v")
+
+
+@query(f"""WITH {_FRAMES_SQL}, sized AS (SELECT frame, max(y) + 1 AS h FROM frames GROUP BY frame)
+SELECT frame AS path, t.tag, t.type, t.count FROM sized, (VALUES (256, 4, 1), (257, 4, 1), (258, 3, 1), (259, 3, 1), (262, 3, 1), (273, 4, 1), (277, 3, 1), (278, 4, 1), (279, 4, 1), (284, 3, 1), (339, 3, 1)) t(tag, type, count)""")
+def metadata_dump(spark, sf_dir):
+    return reader.tags(_files(spark, sf_dir, bits=12)).select(F.col("path").cast("long"), "tag", "type", F.col("count").cast("int"))
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT frame AS path, 0 AS seg_idx, 8 AS start, CAST((max(y) + 1) * ((max(x) + 1) * 12 // 8) AS BIGINT) AS byte_count, CAST(max(y) + 1 AS INTEGER) AS n_rows FROM frames GROUP BY frame")
+def segment_scan(spark, sf_dir):
+    return reader.segments(_files(spark, sf_dir, bits=12)).select(F.col("path").cast("long"), "seg_idx", F.col("offset").cast("int").alias("start"), "byte_count", F.col("rows").alias("n_rows"))
+
+
+@query("SELECT doc_id AS path, octet_length(encode(coalesce(text, ''))) >= 32 AND substr(text, 1, 2) IN ('II', 'MM') AS ok, CAST(0 AS INTEGER) AS n_images FROM documents")
+def diagnostics(spark, sf_dir):
+    """Texts are not containers: each is reported as a row, none fails the query."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reader.diagnostics(docs.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))).select(F.col("path").cast("long"), "ok", "n_images")
+
+
+@query(f"WITH {_FRAMES_SQL}, two AS (SELECT frame, 0 AS image_idx, v FROM frames UNION ALL SELECT frame, 1, floor(v / 2) FROM frames) SELECT frame AS path, image_idx, count(*) AS n, sum(v) AS total FROM two GROUP BY 1, 2")
+def add_image(spark, sf_dir):
+    """Two images of each document by a union of their pixels."""
+    one = frames(spark, sf_dir).select(F.col("frame").cast("string").alias("path"), F.lit(0).alias("image_idx"), "y", "x", F.lit(0).alias("c"), "v")
+    two = one.withColumn("image_idx", F.lit(1)).withColumn("v", F.floor(F.col("v") / 2).cast("double"))
+    px = reader.pixels(reader.rasters(sinks.to_containers(one.unionByName(two), bits=12)))
+    return px.groupBy(F.col("path").cast("long").alias("path"), "image_idx").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT frame, y, x, v FROM frames WHERE y >= 8 AND y < 24 AND x >= 16 AND x < 48")
+def region(spark, sf_dir):
+    px = reader.pixels(reader.rasters(_files(spark, sf_dir, bits=12), region=(8, 16, 24, 48)))
+    return px.filter("y >= 8 and y < 24 and x >= 16 and x < 48").select(F.col("path").cast("long").alias("frame"), "y", "x", "v")
+
+
+@query(f"WITH {_FRAMES_SQL}, sized AS (SELECT frame, max(x) AS w, max(y) AS h FROM frames GROUP BY frame) SELECT f.frame, f.y, f.x, f.v FROM frames f JOIN sized s ON f.frame = s.frame AND f.x = least(10, s.w) AND f.y = least(100000, s.h)")
+def point_lookup(spark, sf_dir):
+    files = _files(spark, sf_dir, bits=12)
+    got = selection.point(reader.pixels(reader.rasters(files)), reader.images(files), 10, 100000)
+    return got.select(F.col("path").cast("long").alias("frame"), "y", "x", "v")
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT frame, max(y) OVER (PARTITION BY frame) - y AS y, x, round(1.5 * v / 3839.0, 6) AS v FROM frames")
+def expose_flip(spark, sf_dir):
+    rows = frames(spark, sf_dir)
+    sizes = rows.groupBy("frame").agg((F.max("y") + 1).alias("height"))
+    return rows.join(sizes, "frame").select("frame", color.flip(F.col("y"), F.col("height")).alias("y"), "x", F.round(color.expose(F.col("v"), 1.5, F.lit(256.0), F.lit(4095.0)), 6).alias("v"))
+
+
+@query(f"""WITH {_FRAMES_SQL}, s AS (SELECT frame, y, x, v, CASE x % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 2 END AS spp FROM frames)
+SELECT frame, y, x, CASE WHEN spp <> 2 THEN v END AS r, CASE WHEN spp = 1 THEN v WHEN spp <> 2 THEN v + 1 END AS g, CASE WHEN spp = 1 THEN v WHEN spp <> 2 THEN v + 2 END AS b FROM s""")
+def channel_map(spark, sf_dir):
+    """One, three or four samples to RGB; two are not supported and give nulls."""
+    v, k = F.col("v"), F.col("x") % 4
+    spp = F.when(k == 0, 1).when(k == 1, 3).when(k == 2, 4).otherwise(2)
+    samples = F.when(spp == 1, F.array(v)).when(spp == 2, F.array(v, v + 1)).when(spp == 3, F.array(v, v + 1, v + 2)).otherwise(F.array(v, v + 1, v + 2, v + 3))
+    rgb = frames(spark, sf_dir).select("frame", "y", "x", color.to_rgb(samples, spp).alias("rgb"))
+    return rgb.select("frame", "y", "x", *[F.col("rgb")[i].alias(n) for i, n in enumerate("rgb")])
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 0 THEN 'R' WHEN 1 THEN 'G' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'M' WHEN 5 THEN 'Y' WHEN 6 THEN 'W' ELSE '?' END AS letter FROM lineitem")
+def color_letter(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", color.color_name(F.col("l_linenumber")).alias("letter"))
+
+
+_TO_SRGB = [[sum(color.XYZ_TO_SRGB[i][k] * color.D50_TO_D65[k][j] for k in range(3)) / (2.0, 1.0, 1.5)[j] for j in range(3)] for i in range(3)]
+_pixel("camera_to_srgb", lambda v: _named(color.matrix3(_rgb(v), color.camera_to_srgb([2.0, 1.0, 1.5], [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]))), {n: f"{_R} * {_TO_SRGB[0][j]!r} + {_G} * {_TO_SRGB[1][j]!r} + {_B} * {_TO_SRGB[2][j]!r}" for j, n in enumerate("rgb")})
+_WARM, _COOL = [[1.0, 0.0, 0.0], [0.0, 0.5, 0.0], [0.0, 0.0, 0.25]], [[0.5, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 2.0]]
+_SHARE = "((1 / 5000.0 - 1 / 7000.0) / (1 / 3200.0 - 1 / 7000.0))"
+_pixel("temperature", lambda v: _named(color.matrix3(_rgb(v), color.blend_by_temperature(5000.0, _WARM, _COOL))), {n: f"{c} * ({_SHARE} * {_WARM[j][j]} + (1 - {_SHARE}) * {_COOL[j][j]})" for j, (n, c) in enumerate(zip("rgb", (_R, _G, _B)))})
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT frame, CAST(4 * count(*) + octet_length(encode(concat('Pf ', max(x) + 1, ' ', max(y) + 1, ' -1.0 '))) AS BIGINT) AS n_bytes, concat('Pf ', max(x) + 1, ' ', max(y) + 1) AS head FROM frames GROUP BY frame")
+def pfm_sink(spark, sf_dir):
+    px = frames(spark, sf_dir).select(F.col("frame").cast("string").alias("path"), F.lit(0).alias("image_idx"), "y", "x", F.lit(0).alias("c"), "v")
+    made = sinks.to_float_files(px)
+    text = F.decode(F.substring(F.col("content"), 1, 32), "ISO-8859-1")
+    return made.select(F.col("path").cast("long").alias("frame"), F.length("content").cast("long").alias("n_bytes"), F.translate(F.substring_index(text, "\n", 2), "\n", " ").alias("head"))
+
+
+@query("SELECT s_suppkey AS path, 1 AS list_no, i - 1 AS point, CAST(s_nationkey + (i - 1) * 0.5 AS DOUBLE) AS gain FROM supplier, (VALUES (1), (2), (3), (4)) t(i)")
+def gain_map(spark, sf_dir):
+    """A 2 x 2 gain map in each file, read back point by point."""
+    import struct
+
+    from ..sources import container
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_nationkey").alias("n"))
+
+    def build(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for n in batch.column(1).to_pylist():
+                body = struct.pack(">10I4dI4f", 0, 0, 4, 4, 0, 1, 1, 1, 2, 2, 0.5, 0.5, 0.0, 0.0, 1, *(n + k * 0.5 for k in range(4)))
+                codes = struct.pack(">5I", 1, 9, 1, 0, len(body)) + body
+                made.append(container.write([{"tags": container.image_tags(1, 1, 8, tag51008=(7, codes)), "data": b"\0"}]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    got = reader.gainmaps(rows.mapInArrow(build, "path string, content binary")).filter("map_planes = 1")
+    return got.select(F.col("path").cast("long"), "list_no", F.posexplode("pixels").alias("point", "gain")).withColumn("gain", F.col("gain").cast("double"))

@@ -13,12 +13,12 @@ from . import container
 COMPRESSIONS = {"none": 1, "lzw": 5, "ljpeg": 7, "deflate": 8}
 
 
-def encode_samples(v: np.ndarray, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False) -> bytes:
+def encode_samples(v: np.ndarray, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, ljpeg_predictor: int = 6) -> bytes:
     """One strip's payload of integer samples (rows, cols, spp)."""
     import zlib
 
     if compression == "ljpeg":
-        return codecs.ljpeg_encode(v.reshape(v.shape[0], -1), max(2, bits))
+        return codecs.ljpeg_encode(v.reshape(v.shape[0], -1), max(2, bits), ljpeg_predictor)
     if predictor == 2:
         v = codecs.differencing(v, bits)
     if bits in (8, 16, 32):
@@ -28,7 +28,7 @@ def encode_samples(v: np.ndarray, bits: int, compression: str = "none", predicto
     return {"none": lambda b: b, "lzw": codecs.lzw_encode, "deflate": zlib.compress}[compression](raw)
 
 
-def to_containers(pixels: DataFrame, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, tags: dict | None = None) -> DataFrame:
+def to_containers(pixels: DataFrame, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, tags: dict | None = None, ljpeg_predictor: int = 6) -> DataFrame:
     """``pixels(path, image_idx, y, x, c, v)`` of integers -> (path, content): one container per path."""
     more = tags or {}
 
@@ -41,7 +41,7 @@ def to_containers(pixels: DataFrame, bits: int, compression: str = "none", predi
             samples = np.zeros((h, w, spp), np.int64)
             samples[y[own], x[own], c[own]] = v[own].astype(np.int64)
             head = container.image_tags(w, h, bits, spp, COMPRESSIONS[compression]) | ({317: (3, [predictor])} if predictor != 1 else {}) | more
-            images.append({"tags": head, "data": encode_samples(samples, bits, compression, predictor, big_endian)})
+            images.append({"tags": head, "data": encode_samples(samples, bits, compression, predictor, big_endian, ljpeg_predictor)})
         return pa.table({"path": pa.array([path[0]], pa.string()), "content": pa.array([container.write(images, big_endian)], pa.binary())})
 
     return pixels.select("path", "image_idx", "y", "x", "c", "v").groupBy("path").applyInArrow(build, "path string, content binary")
@@ -58,3 +58,29 @@ def to_float_files(pixels: DataFrame, kind: str = "pfm") -> DataFrame:
         return pa.table({"path": group.column("path")[:1], "image_idx": group.column("image_idx")[:1], "content": pa.array([make(out)], pa.binary())})
 
     return pixels.select("path", "image_idx", "y", "x", "c", "v").groupBy("path", "image_idx").applyInArrow(build, "path string, image_idx int, content binary")
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``files(path, content)`` as ``folder``/path; gives (path, n_bytes) when run.
+
+    ``folder`` must be a mount that all executors share. A file is written beside its
+    place and renamed, so a task that runs twice leaves the same whole file.
+    """
+
+    def run(batches):
+        import os
+        import uuid
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = os.path.normpath(os.path.join(folder, path))
+                if not at.startswith(os.path.normpath(folder) + os.sep):
+                    raise ValueError(f"{path} lies outside {folder}")
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                beside = f"{at}.{uuid.uuid4().hex}"
+                with open(beside, "wb") as out:
+                    out.write(content)
+                os.replace(beside, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in batch.column(1).to_pylist()], pa.int64())], names=["path", "n_bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, n_bytes long")
