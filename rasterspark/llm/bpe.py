@@ -17,6 +17,7 @@ import heapq
 import json
 from collections import Counter
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -137,15 +138,13 @@ class Encoder:
                 group.append(self.pieces(texts[at]))
                 size += len(texts[at])
                 at += 1
-            missing = {w for words in group for w in words if w not in self.known}
+            here = set(chain.from_iterable(group))
+            missing = here.difference(self.known)
             if len(self.known) + len(missing) > REMEMBERED:
-                missing = {w for words in group for w in words}
+                missing = here
             self.learn(missing)
             for words in group:
-                ids: list[int] = []
-                for x in map(self.known.__getitem__, words):
-                    ids += x
-                yield ids
+                yield list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
