@@ -124,6 +124,13 @@ def unslice(samples: np.ndarray, slices: tuple[int, int, int], height: int) -> n
     return np.concatenate(parts, axis=1)
 
 
+def to_slices(samples: np.ndarray, slices: tuple[int, int, int]) -> np.ndarray:
+    """What ``unslice`` undoes."""
+    count, width, last = slices
+    edges = [width * k for k in range(count + 1)] + [width * count + last]
+    return np.concatenate([samples[:, a:b].ravel() for a, b in zip(edges, edges[1:])]).reshape(samples.shape)
+
+
 # --- lossless JPEG (ITU-T T.81, process 14) ---
 
 

@@ -29,6 +29,13 @@ def normalise(v: Column, bits: Column) -> Column:
     return v / F.pow(F.lit(2.0), bits)
 
 
+def linearise(v: Column, table: list[float]) -> Column:
+    """The table's entry for each sample; samples beyond it take the last one."""
+    # one folded literal, not an expression for every entry
+    entries = F.expr(f"array({', '.join(f'{float(t)!r}D' for t in table)})")
+    return F.element_at(entries, clamp(v, 0.0, len(table) - 1.0).cast("int") + 1)
+
+
 def display_gamma(v: Column, intensity: float = 1.0, gamma: float = 2.2) -> Column:
     return clamp(F.pow(F.greatest(v * F.lit(float(intensity)), F.lit(0.0)), F.lit(1.0 / gamma)), 0.0, 1.0)
 

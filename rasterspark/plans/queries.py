@@ -24,9 +24,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("vec_id div 64").alias("frame"), F.expr("cast(vec_id % 64 as int)").alias("y"), "x", color.clamp(F.floor((F.col("e").cast("double") + 1.0) * 2048.0).cast("double"), 0.0, 4095.0).alias("v"))
 
 
+def _pixel_rows(frames_: DataFrame) -> DataFrame:
+    """Frames as pixels of one image in one file each."""
+    return frames_.select(F.col("frame").cast("string").alias("path"), F.lit(0).alias("image_idx"), "y", "x", F.lit(0).alias("c"), "v")
+
+
 def _files(spark, sf_dir, **options) -> DataFrame:
-    px = frames(spark, sf_dir).select(F.col("frame").cast("string").alias("path"), F.lit(0).alias("image_idx"), "y", "x", F.lit(0).alias("c"), "v")
-    return sinks.to_containers(px, **options)
+    return sinks.to_containers(_pixel_rows(frames(spark, sf_dir)), **options)
 
 
 def _round_trip(bits: int, **options):

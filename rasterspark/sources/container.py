@@ -13,7 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from ..functions import codecs
+from ..functions import codecs, jpeg
 from ..functions.codecs import DecodeError
 
 #: Fixed values of the format: type code -> (size, struct letter).
@@ -220,7 +220,10 @@ def decode_segment(data: bytes, image: dict, seg: dict) -> np.ndarray:
     if not payload or rows * cols * spp * max(bits, 1) // 8 > MOST_BYTES:
         raise DecodeError("no payload, or too large an image")
     if compression in (6, 7, 34892) and codecs.jpeg_frame(payload)[0] != 0xC3:
-        raise DecodeError("lossy JPEG is not supported")
+        decoded = jpeg.decode(payload)
+        if decoded.shape[2] != spp or decoded.shape[0] < rows or decoded.shape[1] < cols:
+            raise DecodeError("JPEG: size differs from the segment's")
+        return decoded[:rows, :cols]
     if compression in (6, 7):
         decoded = codecs.ljpeg_decode(payload)
         if any(image["cr2_slices"]):
@@ -271,19 +274,35 @@ def rational(value: float, signed: bool = False) -> tuple[int, int]:
 
 
 def write(images: list[dict], big_endian: bool = False) -> bytes:
-    """A container of one-strip images.
+    """A container of images in strips or tiles.
 
-    Each image: ``tags`` {tag: (type, values)} and ``data`` bytes in file order; strip
-    offset and byte count are added. Values of rational types are floats or pairs.
+    Each image: ``tags`` {tag: (type, values)} and ``data``, the payload bytes in file
+    order, or a list of them, one a strip (or tile, if the tags hold a tile width).
+    ``children`` are images of nested directories. Offsets and byte counts are added.
+    Values of rational types are floats or pairs.
     """
     order = ">" if big_endian else "<"
-    head, blocks, directories, at = (b"MM\0*" if big_endian else b"II*\0"), [], [], 8
-    for image in images:
+    blocks: list[bytes] = []
+    at = 8
+
+    def put(block: bytes) -> int:
+        nonlocal at
+        block += b"\0" * (len(block) % 2)
+        blocks.append(block)
+        at += len(block)
+        return at - len(block)
+
+    def directory(entries: list[bytes], following: int) -> bytes:
+        return struct.pack(order + "H", len(entries)) + b"".join(entries) + struct.pack(order + "I", following)
+
+    def entries_of(image: dict) -> list[bytes]:
         tags = dict(image["tags"])
-        data = image["data"] + b"\0" * (len(image["data"]) % 2)
-        tags[273], tags[279] = (4, [at]), (4, [len(image["data"])])
-        blocks.append(data)
-        at += len(data)
+        parts = image["data"] if isinstance(image["data"], list) else [image["data"]]
+        offsets, counts = (324, 325) if 322 in tags else (273, 279)
+        tags[offsets], tags[counts] = (4, [put(p) for p in parts]), (4, [len(p) for p in parts])
+        nested = [put(directory(entries_of(child), 0)) for child in image.get("children", ())]
+        if nested:
+            tags[SUB_IFDS] = (4, nested)
         entries = []
         for tag in sorted(tags):
             kind, values = tags[tag]
@@ -297,16 +316,16 @@ def write(images: list[dict], big_endian: bool = False) -> bytes:
             else:
                 raw, count = struct.pack(f"{order}{len(values)}{letter}", *values), len(values)
             if len(raw) > 4:
-                raw += b"\0" * (len(raw) % 2)
-                blocks.append(raw)
-                raw, at = struct.pack(order + "I", at), at + len(raw)
+                raw = struct.pack(order + "I", put(raw))
             entries.append(struct.pack(order + "HHI", tag, kind, count) + raw.ljust(4, b"\0"))
-        directories.append(entries)
+        return entries
+
+    directories = [entries_of(image) for image in images]
     first, body = at, b""
     for k, entries in enumerate(directories):
-        size = 2 + 12 * len(entries) + 4
-        following = first + len(body) + size if k + 1 < len(directories) else 0
-        body += struct.pack(order + "H", len(entries)) + b"".join(entries) + struct.pack(order + "I", following)
+        end = first + len(body) + 2 + 12 * len(entries) + 4
+        body += directory(entries, end if k + 1 < len(directories) else 0)
+    head = b"MM\0*" if big_endian else b"II*\0"
     return head + struct.pack(order + "I", first if images else 0) + b"".join(blocks) + body
 
 

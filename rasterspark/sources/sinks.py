@@ -13,24 +13,51 @@ from . import container
 COMPRESSIONS = {"none": 1, "lzw": 5, "ljpeg": 7, "deflate": 8}
 
 
-def encode_samples(v: np.ndarray, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, ljpeg_predictor: int = 6) -> bytes:
-    """One strip's payload of integer samples (rows, cols, spp)."""
+def encode_samples(v: np.ndarray, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, ljpeg_predictor: int = 6, sample_format: int = 1) -> bytes:
+    """The payload of one strip or tile of samples (rows, cols, spp)."""
     import zlib
 
     if compression == "ljpeg":
         return codecs.ljpeg_encode(v.reshape(v.shape[0], -1), max(2, bits), ljpeg_predictor)
     if predictor == 2:
         v = codecs.differencing(v, bits)
-    if bits in (8, 16, 32):
-        raw = v.astype(f"{'>' if big_endian else '<'}u{bits // 8}").tobytes()
+    if bits in (8, 16, 32, 64):
+        raw = v.astype(f"{'>' if big_endian else '<'}{ {1: 'u', 2: 'i', 3: 'f'}[sample_format]}{bits // 8}").tobytes()
     else:
         raw = b"".join(codecs.pack_bits(row, bits) for row in v)
     return {"none": lambda b: b, "lzw": codecs.lzw_encode, "deflate": zlib.compress}[compression](raw)
 
 
-def to_containers(pixels: DataFrame, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, tags: dict | None = None, ljpeg_predictor: int = 6) -> DataFrame:
-    """``pixels(path, image_idx, y, x, c, v)`` of integers -> (path, content): one container per path."""
-    more = tags or {}
+def parts_of(v: np.ndarray, rows_per_strip: int | None = None, tile: tuple[int, int] | None = None) -> list[np.ndarray]:
+    """Strips, or whole tiles (width, length) in row order with zeros beyond the edges."""
+    height, width, spp = v.shape
+    if tile is None:
+        step = rows_per_strip or height
+        return [v[y : y + step] for y in range(0, height, step)]
+    across, down = -(-width // tile[0]), -(-height // tile[1])
+    whole = np.zeros((down * tile[1], across * tile[0], spp), v.dtype)
+    whole[:height, :width] = v
+    return [whole[r * tile[1] : (r + 1) * tile[1], c * tile[0] : (c + 1) * tile[0]] for r in range(down) for c in range(across)]
+
+
+def to_containers(
+    pixels: DataFrame, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, tags: dict | None = None, ljpeg_predictor: int = 6,
+    rows_per_strip: int | None = None, tile: tuple[int, int] | None = None, slices: tuple[int, int, int] | None = None, sample_format: int = 1,
+) -> DataFrame:
+    """``pixels(path, image_idx, y, x, c, v)`` -> (path, content): one container per path.
+
+    Samples are integers (floats with ``sample_format`` 3) in one strip, strips of
+    ``rows_per_strip``, or tiles; ``slices`` orders a lossless JPEG's columns.
+    """
+    more = dict(tags or {})
+    if predictor != 1:
+        more[317] = (3, [predictor])
+    if rows_per_strip:
+        more[278] = (4, [rows_per_strip])
+    if tile:
+        more |= {322: (4, [tile[0]]), 323: (4, [tile[1]])}
+    if slices:
+        more[50752] = (3, list(slices))
 
     def build(group: pa.Table) -> pa.Table:
         path, idx, y, x, c, v = (group.column(n).to_numpy() for n in ("path", "image_idx", "y", "x", "c", "v"))
@@ -38,10 +65,13 @@ def to_containers(pixels: DataFrame, bits: int, compression: str = "none", predi
         for k in np.unique(idx):
             own = idx == k
             h, w, spp = int(y[own].max()) + 1, int(x[own].max()) + 1, int(c[own].max()) + 1
-            samples = np.zeros((h, w, spp), np.int64)
-            samples[y[own], x[own], c[own]] = v[own].astype(np.int64)
-            head = container.image_tags(w, h, bits, spp, COMPRESSIONS[compression]) | ({317: (3, [predictor])} if predictor != 1 else {}) | more
-            images.append({"tags": head, "data": encode_samples(samples, bits, compression, predictor, big_endian, ljpeg_predictor)})
+            samples = np.zeros((h, w, spp), np.float64 if sample_format == 3 else np.int64)
+            samples[y[own], x[own], c[own]] = v[own].astype(samples.dtype)
+            if slices:
+                samples = codecs.to_slices(samples[:, :, 0], slices)[:, :, None]
+            head = container.image_tags(w, h, bits, spp, COMPRESSIONS[compression], sample_format) | more
+            payload = [encode_samples(p, bits, compression, predictor, big_endian, ljpeg_predictor, sample_format) for p in parts_of(samples, rows_per_strip, tile)]
+            images.append({"tags": head, "data": payload})
         return pa.table({"path": pa.array([path[0]], pa.string()), "content": pa.array([container.write(images, big_endian)], pa.binary())})
 
     return pixels.select("path", "image_idx", "y", "x", "c", "v").groupBy("path").applyInArrow(build, "path string, content binary")

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from rasterspark.plans.queries import ORACLE_SQL, QUERIES
+from rasterspark.plans import layouts, queries
+
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | layouts.ORACLE_SQL, queries.QUERIES | layouts.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
