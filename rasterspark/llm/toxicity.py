@@ -37,7 +37,8 @@ ORDER, LAMBDA, PIECE, STRIDE = 3, 0.7, 10, 5
 LANDMARKS, TAU, ALIKE = 64, 0.5, 0.9
 SAMPLE = 3000
 POOL = 2000
-REMEMBERED, SLICE = 1 << 18, 1 << 20
+#: Strings compared at once, words remembered and text handled at once in a worker.
+CHUNK, REMEMBERED, SLICE = 2048, 1 << 18, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W_](?![^\W_])){3,}")
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -52,7 +53,9 @@ _REST = np.arange(65536)
 _REST = 30 + (_REST * 40503 >> 4) % 10
 _CODES = np.where(_CODES == 0, _REST, _CODES)
 _TRIPLES = np.array(list(combinations(range(PIECE), ORDER)))
-_WEIGHTS = LAMBDA ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1.0)
+_SPANS = (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1).astype(np.int32)
+#: Weight of a subsequence by the length that it spans; 0 stands for one that runs beyond the string.
+_WEIGHT_OF = np.array([0.0, *(LAMBDA**k for k in range(1, 16))])
 
 
 def words(text: str) -> list[str]:
@@ -75,12 +78,13 @@ def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(chars) != len(strings) * PIECE:  # characters outside the base plane
         chars = np.array([[min(ord(c), 65535) for c in s.ljust(PIECE, "\0")[:PIECE]] for s in strings], np.uint16).ravel()
     chars = chars.reshape(-1, PIECE)
-    codes = _CODES[chars]
+    codes = _CODES[chars].astype(np.int32)
     a, b, c = (codes[:, _TRIPLES[:, k]] for k in range(3))
-    weight = np.where(chars[:, _TRIPLES[:, 2]] != 0, _WEIGHTS, 0.0)
-    feature = (a * _ALPHABET + b) * _ALPHABET + c
-    order = np.argsort(feature, axis=1)
-    feature, weight = np.take_along_axis(feature, order, 1), np.take_along_axis(weight, order, 1)
+    # feature and span in one number, so that sorting moves both
+    key = ((a * _ALPHABET + b) * _ALPHABET + c) << 4
+    key |= np.where(chars[:, _TRIPLES[:, 2]] != 0, _SPANS, 0)
+    key.sort(axis=1)
+    feature, weight = key >> 4, _WEIGHT_OF[key & 15]
     n, t = feature.shape
     flat = np.ones((n, t), bool)
     flat[:, 1:] = feature[:, 1:] != feature[:, :-1]
@@ -106,18 +110,18 @@ class Kernel:
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        for at in range(0, len(strings), 4096):
-            feature, weight = subsequences(strings[at : at + 4096])
-            row, col = np.nonzero(self.live[feature] & (weight > 0))
-            if len(row):
-                # a string's share of the landmarks' features bounds its value: skip what can't reach TAU
-                bound = np.bincount(row, weight[row, col] ** 2, minlength=len(feature))
-                fine = bound[row] >= TAU**2
-                row, col = row[fine], col[fine]
-            if len(row):
-                products = self.table[feature[row, col]] * weight[row, col, None].astype(np.float32)
-                start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                out[at + row[start]] = np.add.reduceat(products, start, axis=0)
+        for at in range(0, len(strings), CHUNK):
+            feature, weight = subsequences(strings[at : at + CHUNK])
+            live = self.live[feature] & (weight > 0)
+            # a string's share of the landmarks' features bounds its value: skip what can't reach TAU
+            fine = np.flatnonzero(np.einsum("ij,ij,ij->i", weight, weight, live) >= TAU**2)
+            feature, weight, live = feature[fine], weight[fine].astype(np.float32), live[fine]
+            own = np.zeros((len(fine), len(self.landmarks)), np.float32)
+            for k in range(feature.shape[1]):
+                row = np.flatnonzero(live[:, k])
+                if len(row):
+                    own[row] += self.table[feature[row, k]] * weight[row, k, None]
+            out[at + fine] = own
         return out
 
 
