@@ -2,19 +2,22 @@
 
 Words are lower-cased and stripped of outer punctuation; numbers, names and units
 become typed placeholders (their values are kept as slots). Windows of five template
-words of documents and benchmark items are hash-joined. Hits on one diagonal (same
+words of documents and benchmark items are hash-joined. A second hash of the literal
+words, of every window, finds verbatim copies where placeholders say too little. Hits on one diagonal (same
 offset between document and item) count only if their slots are consistent: each
 slot value of the item goes with one value in the document, so a re-parameterised
 question matches and a chance pattern with clashing values does not. A document is
-contaminated by an item if it holds 80 % of the item's distinct windows, or a
-passage of the item of 20 words (16 windows on one diagonal).
+contaminated by an item if it holds 80 % of the item's windows, or 80 % of those that
+count as templates (new parameters leave only these), or a passage of the item of 20 words (16 windows on one diagonal).
 
 The item windows are handed to every task only if a count shows that they are at
 most ``BROADCAST_WINDOWS`` (16 MB); beyond that the same hits come from a Spark join.
 
 Cases: null text counts as empty and is clean; a text of under five words is one
-window; windows of which over three words are placeholders do not count, and an item
-of only such windows matches nothing; repeated items count once an id; repeated rows
+window, and an item of under five words also matches literally, at its own width,
+anywhere in a document; windows of which over three words or all are placeholders match
+literally only; an item without a word (empty, or outer punctuation only) matches
+nothing; repeated items count once an id; repeated rows
 give repeated results; empty tables give clean or empty results; further columns are
 ignored.
 """
@@ -41,7 +44,9 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "“”‘’«»¿¡…–—"
 _PLAIN, _NUM, _TITLE, _UNIT, _VOID = range(5)
 _HOLD = np.array([xxhash.xxh64_intdigest(f"<{x}>".encode()) for x in ("NUM", "NAME", "UNIT")], np.uint64)
-_HIT = "doc_id long, pos int, item_id long, ipos int, pairs array<struct<i:long,d:long>>"
+_TYPED, _LITERAL, _DENSE = range(3)  # by template; by words; by words, and the item's window has no template that counts
+_LITERAL_SEED, _LITERAL_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HIT = "doc_id long, pos int, item_id long, ipos int, way int, pairs array<struct<i:long,d:long>>"
 
 
 def _describe(word: str) -> tuple[int, int, bool]:
@@ -119,19 +124,55 @@ def windows(template: np.ndarray, slot: np.ndarray, owner: np.ndarray):
     return h[fine], start[fine], width[fine]
 
 
+def literal_windows(value: np.ndarray, owner: np.ndarray, short=None):
+    """(hash, start, width) of all windows by their literal words.
+
+    A text of under WINDOW words is one window of its own width; with ``short`` there are
+    windows of these widths at every place of every text instead.
+    """
+    n, out = len(value), [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    sizes = np.bincount(owner) if n else np.zeros(0, np.int64)
+    for width in range(1, WINDOW + 1) if short is None else (*short, WINDOW):
+        m = n - width + 1
+        if m <= 0:
+            continue
+        own = owner[:m] == owner[width - 1 :]
+        if short is None and width < WINDOW:
+            own &= sizes[owner[:m]] == width
+        start = np.flatnonzero(own)
+        if not len(start):
+            continue
+        h = np.full(m, _LITERAL_SEED ^ np.uint64(width))
+        for k in range(width):
+            h = (h ^ value[k : k + m]) * _LITERAL_STEP
+            h ^= h >> np.uint64(32)
+        out.append((h[start], start, np.full(len(start), width)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def both_windows(template, value, slot, owner, short=None):
+    """(hash, start, width, way) of all windows, by template and by literal words."""
+    typed, literal = windows(template, slot, owner), literal_windows(value, owner, short)
+    counts = np.zeros(len(template) + 1, bool)
+    counts[typed[1]] = True
+    way = np.concatenate((np.full(len(typed[0]), _TYPED), np.where(counts[literal[1]], _LITERAL, _DENSE)))
+    return (*(np.concatenate(x) for x in zip(typed, literal)), way)
+
+
 def _pairs(item_value, item_slot, i, value, d, width):
     marks = np.flatnonzero(item_slot[i : i + width])
     return [{"i": int(item_value[i + k].view(np.int64)), "d": int(value[d + k].view(np.int64))} for k in marks]
 
 
 def item_windows(items: list[tuple[int, str]]) -> dict[str, np.ndarray]:
-    """All windows of the items, by hash: hash, item_id, ipos, and the values and slots they point into."""
+    """All windows of the items, by hash: hash, item_id, ipos, way, the values and slots they point into, and the widths of short items."""
     template, value, slot, owner = Canonical().words([t for _, t in items])
-    h, start, width = windows(template, slot, owner)
+    h, start, width, way = both_windows(template, value, slot, owner)
     first = np.searchsorted(owner, owner[start]) if len(start) else start
     order = np.argsort(h, kind="stable")
     ids = np.array([i for i, _ in items], np.int64)
-    return {"hash": h[order], "item": ids[owner[start]][order] if len(ids) else np.zeros(0, np.int64), "ipos": (start - first)[order], "at": start[order], "value": value, "slot": slot}
+    short = np.unique(width[width < WINDOW]).tolist()
+    return {"hash": h[order], "item": ids[owner[start]][order] if len(ids) else np.zeros(0, np.int64), "ipos": (start - first)[order], "at": start[order], "way": way[order], "value": value, "slot": slot, "short": short}
 
 
 class _Matcher:
@@ -156,14 +197,14 @@ def _local_hits(docs: DataFrame, index) -> DataFrame:
         if not state:
             state.update(m=_Matcher(index), c=Canonical())
         ids, texts = batch.column(0).to_pylist(), as_text(batch.column(1))
-        out, at = [[], [], [], [], []], 0
+        out, at = [[], [], [], [], [], []], 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
                 size += len(texts[to])
                 to += 1
             template, value, slot, owner = state["c"].words(texts[at:to])
-            h, start, width = windows(template, slot, owner)
+            h, start, width, _ = both_windows(template, value, slot, owner, index["short"])
             which, low, high = state["m"].hits(h)
             for w, a, b in zip(which.tolist(), low.tolist(), high.tolist()):
                 d = int(start[w])
@@ -173,44 +214,48 @@ def _local_hits(docs: DataFrame, index) -> DataFrame:
                     out[1].append(pos)
                     out[2].append(int(index["item"][r]))
                     out[3].append(int(index["ipos"][r]))
-                    out[4].append(_pairs(index["value"], index["slot"], int(index["at"][r]), value, d, int(width[w])))
+                    out[4].append(int(index["way"][r]))
+                    out[5].append(_pairs(index["value"], index["slot"], int(index["at"][r]), value, d, int(width[w])))
             at = to
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int64())])))], names=["doc_id", "pos", "item_id", "ipos", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int64())])))], names=["doc_id", "pos", "item_id", "ipos", "way", "pairs"])
 
     return map_batches(docs, ["doc_id", "text"], run, _HIT)
 
 
-def window_rows(rows: DataFrame) -> DataFrame:
-    """(id, pos, h, values): every window of every row of ``rows(id, text)``; values are null but in slots."""
+def window_rows(rows: DataFrame, short=None) -> DataFrame:
+    """(id, pos, h, way, values): every window of every row of ``rows(id, text)``; values are null but in slots."""
 
     def run(batch):
         ids, texts, c = batch.column(0).to_pylist(), as_text(batch.column(1)), Canonical()
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for i, t in zip(ids, texts):
             template, value, slot, owner = c.words([t])
-            h, start, width = windows(template, slot, owner)
-            for x, s, w in zip(h.view(np.int64).tolist(), start.tolist(), width.tolist()):
+            h, start, width, way = both_windows(template, value, slot, owner, short)
+            for x, s, w, y in zip(h.view(np.int64).tolist(), start.tolist(), width.tolist(), way.tolist()):
                 out[0].append(i)
                 out[1].append(s)
                 out[2].append(x)
-                out[3].append([int(value[s + k].view(np.int64)) if slot[s + k] else None for k in range(w)])
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "pos", "h", "values"])
+                out[3].append(y)
+                out[4].append([int(value[s + k].view(np.int64)) if slot[s + k] else None for k in range(w)])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names=["id", "pos", "h", "way", "values"])
 
-    return map_batches(rows, ["id", "text"], run, "id long, pos int, h long, values array<long>")
+    return map_batches(rows, ["id", "text"], run, "id long, pos int, h long, way int, values array<long>")
 
 
 def _joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    d = window_rows(docs.select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "pos", "h", F.col("values").alias("dv"))
-    i = window_rows(items.select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "h", F.col("values").alias("iv"))
-    pairs = F.filter(F.zip_with("iv", "dv", lambda a, b: F.struct(a.alias("i"), b.alias("d"))), lambda p: p["i"].isNotNull())
-    return d.join(i, "h").select("doc_id", "pos", "item_id", "ipos", pairs.alias("pairs"))
+    i = window_rows(items.select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "h", "way", F.col("values").alias("iv"))
+    short = sorted(r["n"] for r in i.select(F.size("iv").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # WINDOW - 1 widths at most
+    d = window_rows(docs.select(F.col("doc_id").alias("id"), "text"), short).select(F.col("id").alias("doc_id"), "pos", "h", F.col("values").alias("dv"))
+    # literal hits have the item's own values, also where the document's word is no slot
+    pairs = F.filter(F.zip_with("iv", "dv", lambda a, b: F.struct(a.alias("i"), F.when(F.col("way") == _TYPED, b).otherwise(a).alias("d"))), lambda p: p["i"].isNotNull())
+    return d.join(i, "h").select("doc_id", "pos", "item_id", "ipos", "way", pairs.alias("pairs"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, share, run) of every contaminated document and item."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").dropDuplicates(["item_id"])
-    bound = items.agg(F.sum(F.length("text"))).first()[0] or 0  # an item has fewer windows than characters
+    bound = items.agg(F.sum(F.length("text"))).first()[0] or 0  # an item has no more windows than characters and one
     if bound <= 8 * broadcast_windows:
         index = item_windows([(r["item_id"], r["text"]) for r in items.orderBy("item_id").collect()])
         if len(index["hash"]) <= broadcast_windows:
@@ -219,11 +264,14 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_windows: int = BR
             hits = _joined_hits(docs, items)
     else:
         hits = _joined_hits(docs, items)
-    sizes = window_rows(items.select(F.col("item_id").alias("id"), "text")).groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("h").alias("n"), F.countDistinct("pos").alias("n_pos"))
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    sizes = window_rows(items.select(F.col("item_id").alias("id"), "text")).groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("n_pos"), F.countDistinct(F.when(F.col("way") == _TYPED, F.col("pos"))).alias("n_typed"))
+    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("way") == _DENSE, F.col("ipos"))).alias("dense"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    found = runs.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("found"), F.max(F.size("at")).alias("run"))
-    scored = found.join(sizes, "item_id").select("doc_id", "item_id", (F.col("found") / F.col("n_pos")).alias("share"), "run")
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    found = runs.filter(consistent).groupBy("doc_id", "item_id").agg(distinct("at").alias("found"), distinct("dense").alias("dense"), F.max(F.size("at")).alias("run"))
+    typed = (F.col("found") - F.col("dense")) / F.nullif("n_typed", F.lit(0))
+    share = F.greatest(F.col("found") / F.col("n_pos"), typed)
+    scored = found.join(sizes, "item_id").select("doc_id", "item_id", share.alias("share"), "run")
     return scored.filter((F.col("share") >= SHARE) | (F.col("run") >= RUN))
 
 

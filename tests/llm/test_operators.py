@@ -242,6 +242,17 @@ def test_templates_see_new_parameters(spark):
         assert [(r["doc_id"], r["item_id"]) for r in templates.contamination(docs, items, limit).collect() if r["share"] >= 0.8] == [(1, 8)]
 
 
+def test_templates_see_verbatim_copies(spark):
+    """Windows of mostly placeholders and items of under five words match by their literal words."""
+    items = [(1, "Solve 12 + 7 * 3 - 40 = ?"), (2, "Anna Bob Carl Dave Eve Frank"), (3, "capital of France"), (4, " ".join(map(str, range(100, 140)))), (5, "what would Anna pay if we sold her 12 old red hats 4 5 6 7 and also gave Mary green ones")]
+    docs = [(1, "now Solve 12 + 7 * 3 - 40 = ? for me and then go on"), (2, "they are called Anna Bob Carl Dave Eve Frank as we know"), (3, "we all know the capital of France and its river"), (4, "here " + " ".join(map(str, range(110, 130))) + " there"), (5, "so what would Jane pay if we sold her 90 old red hats 8 2 1 3 and also gave Lucy green ones")]
+    docs += [(11, "now Solve 13 + 8 * 4 - 41 = ? for me and then go on"), (12, "they are called Gil Hal Ida Jon Kim Lou as we know"), (13, "we all know the capital of Spain and its river"), (14, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 0):  # both ways of the join
+        found = templates.contamination(docs, items, limit).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], found
+
+
 def test_op9(spark, sf, docs):
     want = []
     for d, t in docs:
