@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Stands for a null id while ids are sorted and joined.
+NULL_ID = -(1 << 63)
+
+
+def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """((doc_id, text), back): rows with an id that is never null and has one text only.
+
+    Mostly these are the ids that the rows have, with a stand-in for null, and ``back`` is
+    None. If an id (null too) has several texts, the distinct pairs of id and text digest
+    are numbered in their order, null first, and ``back(doc_id, own)`` leads to the ids.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+    stand_in = F.col("doc_id").eqNullSafe(NULL_ID)
+    # the ids alone first: texts are read only if an id repeats
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | stand_in).isEmpty():
+        return plain, None
+    digested = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ends = digested.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    if ends.filter((F.col("a") != F.col("b")) | stand_in).isEmpty():
+        return plain, None
+
+    def number(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64())], names=["own", "digest", "part", "at"])
+            at += n
+
+    order = (F.col("doc_id").asc_nulls_first(), F.col("digest").asc())
+    pairs = digested.select("doc_id", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = cut(pairs.mapInArrow(number, "own long, digest string, part int, at long"))
+    offsets, total = [], 0
+    for r in numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
+        offsets.append((r["part"], total))
+        total += r["n"]
+    offsets = docs.sparkSession.createDataFrame(offsets, "part int, before long")
+    numbered = numbered.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("at")).alias("number"), "own", "digest")
+    same = (digested["digest"] == numbered["digest"]) & digested["doc_id"].eqNullSafe(numbered["own"])
+    return cut(digested.join(numbered, same).select(F.col("number").alias("doc_id"), "text")), numbered.select(F.col("number").alias("doc_id"), "own")
+
+
+def own_ids(rows: DataFrame, back: DataFrame | None) -> DataFrame:
+    """``rows`` with the ids that ``with_ids`` replaced."""
+    if back is None:
+        return rows.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return rows.join(back, "doc_id").withColumn("doc_id", F.col("own")).drop("own")
+
+
 def hex_sha256(column: Column) -> Column:
     return F.sha2(column, 256)
 

@@ -10,7 +10,8 @@ join on digests, only the chunks that others own; every chunk and every file is
 verified by its digest. Copies share one file, found by the text's digest.
 
 Cases: null text counts as empty and is one row of 576 samples; equal texts give
-equal values; repeated rows give repeated results; an empty table gives an empty
+equal values; a null doc_id, and one with several texts, gives each row its own text's
+values; repeated rows give repeated results; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh_path, mix64, table
+from .common import as_bytes, cut, fresh_path, mix64, table, with_ids
 
 ROW = 576
 LEAST, MOST = 512, 16384
@@ -212,8 +213,8 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts, keyed = distinct_texts(docs)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain, _ = with_ids(docs)
+    texts, _ = distinct_texts(plain)
     media = read_media(spark, store_media(plain, texts.select("doc_id")))
 
     def measured(batches):

@@ -12,8 +12,8 @@ hashes of their words: all but the first of equal windows, by doc_id and start,
 removed. Nothing but candidates is exchanged for verification.
 
 Cases: null text counts as empty and has no words; a text under 20 words keeps all;
-a null doc_id sorts first; rows that share doc_id and text are the same document and
-give equal rows; an empty table gives an empty result; further columns are ignored.
+a null doc_id sorts first, different texts of one doc_id (or of null) sort by their
+digests; rows that share doc_id and text are the same document and give equal rows; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, held, mix64, table
-from .repeats import NULL_ID, Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices, with_ids
+from .common import bounded_slices, held, mix64, own_ids, table, with_ids
+from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices
 
 WINDOW, ROUNDS = 20, 4
 REMEMBERED = 1 << 18
@@ -246,17 +246,17 @@ def later_windows(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
     return judged.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire]:
-    """((doc_id, packed, at), wire): each document with the starts of its later windows."""
-    rows = with_ids(docs, id_col, text_col)
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire, DataFrame | None]:
+    """((doc_id, packed, at), wire, back): each document, by the ids of ``with_ids``, with the starts of its later windows."""
+    rows, back = with_ids(docs, id_col, text_col)
     wire, n = Wire(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), buckets_for(rows)
     packed = wire.packed(rows)
     marked = packed.join(repeated_anchors(rows, _anchors, n), "doc_id", "left")
-    return packed.join(later_windows(marked, wire, n), "doc_id", "left"), wire
+    return packed.join(later_windows(marked, wire, n), "doc_id", "left"), wire, back
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, wire = repeated_words(table(spark, sf_dir, "documents"))
+    found, wire, back = repeated_words(table(spark, sf_dir, "documents"))
 
     def run(batches):
         for batch in batches:
@@ -271,4 +271,4 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     out = found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return own_ids(out, back)

@@ -21,17 +21,10 @@ from .media import _codec, wire_dictionary
 SLICE = 4 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
-#: Stands for a null id while ids are sorted and joined.
-NULL_ID = -(1 << 63)
 
 _BLOCK = "bucket int, keys binary, ids binary, pos binary"
 
 
-def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with a stand-in for null ids."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-
-
 def buckets_for(docs: DataFrame) -> int:
     """Buckets grow with the text, so that one of them stays a bounded task."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -69,7 +62,7 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLIC
     """(doc_id, at array<int>): positions of the anchors whose key another place has too.
 
     ``anchors(texts)`` -> (text number, position, key) arrays for a list of UTF-8 texts.
-    Rows that share an id are taken as one document; the same place twice is one place.
+    Rows that share an id have one text and are one document; the same place twice is one place.
     """
 
     def send(batches):

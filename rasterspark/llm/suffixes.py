@@ -8,10 +8,11 @@ array by Larsson-Sadakane refinement (ranks of prefixes of doubling length, only
 groups that still tie are sorted again), and common prefixes of neighbours by Kasai's
 rule on permuted order. Runs with 50 bytes in common are equal windows. A key that
 fills more than one shard has its shards' sorted strings merged by binary search. A
-window is removed if one of its equals starts in a document with a smaller doc_id.
+window is removed if one of its equals starts in a document with a smaller doc_id
+(of one doc_id: a smaller text digest).
 
 Cases: null text counts as empty; a text under 50 bytes keeps all; a null doc_id sorts
-first; rows that share doc_id and text are the same document and give equal rows; an
+first, different texts of one doc_id (or of null) sort by their digests; rows that share doc_id and text are the same document and give equal rows; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import mix64, own_ids, table, with_ids
 from .media import _codec
-from .repeats import NULL_ID, Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices, with_ids
+from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -387,17 +388,17 @@ def window_starts(starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return starts[row] + k
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire]:
-    """((doc_id, packed, starts, bits), wire): each document with the windows that a smaller document has too."""
-    rows = with_ids(docs, id_col, text_col)
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire, DataFrame | None]:
+    """((doc_id, packed, starts, bits), wire, back): each document, by the ids of ``with_ids``, with the windows that a smaller document has too."""
+    rows, back = with_ids(docs, id_col, text_col)
     wire, n = Wire(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), buckets_for(rows)
     packed = wire.packed(rows)
     marked = packed.join(repeated_anchors(rows, _anchors, n, SLICE), "doc_id", "left")
-    return packed.join(removed_starts(marked, wire, n), "doc_id", "left"), wire
+    return packed.join(removed_starts(marked, wire, n), "doc_id", "left"), wire, back
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, wire = repeated_bytes(table(spark, sf_dir, "documents"))
+    found, wire, back = repeated_bytes(table(spark, sf_dir, "documents"))
 
     def run(batches):
         for batch in batches:
@@ -411,4 +412,4 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return own_ids(out, back)

@@ -263,6 +263,61 @@ def test_op9(spark, sf, docs):
     _compare(media.op9_media_columns(spark, sf), want)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark, tmp_path_factory):
+    """Null ids with different texts, and different texts under one id."""
+    at = str(tmp_path_factory.mktemp("shared_ids"))
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    passage = prose(40)
+    texts = [(None, prose(50) + " " + passage), (None, passage), (None, "short"), (None, "short"), (None, None), (None, passage + " " + prose(300)), (7, prose(9) + " " + passage), (7, passage + prose(90)), (7, "short"), (8, passage), (-(1 << 63), passage + " end"), ((1 << 63) - 1, passage + " last")]
+    make(spark, at, {"documents": ([(d, t, None, "s", None, 7, "p") for d, t in texts], SCHEMA)})
+    return at, texts
+
+
+def _in_order(texts):
+    """Keys that sort as documents do: null first, then by id, texts of one id by digest."""
+    return [((d is not None, d or 0, hashlib.sha256((t or "").encode()).hexdigest()), d, (t or "").encode()) for d, t in texts]
+
+
+def test_op1_shared_ids(spark, shared_ids):
+    rows, first, want = _in_order(shared_ids[1]), {}, []
+    for k, _, b in rows:
+        w = b.split()
+        for i in range(len(w) - 19):
+            s = tuple(w[i : i + 20])
+            first[s] = min(first.get(s, (k, i)), (k, i))
+    for k, d, b in rows:
+        w = b.split()
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (k, i) for j in range(i, i + 20)}
+        want.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    _compare(recompression.op1_substring_dedup(spark, shared_ids[0]), want)
+
+
+def test_op6_shared_ids(spark, shared_ids):
+    rows, first, want = _in_order(shared_ids[1]), {}, []
+    for k, _, b in rows:
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], k), k)
+    for k, d, b in rows:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < k:
+                gone[i : i + 50] = True
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    _compare(suffixes.op6_suffix_array_dedup(spark, shared_ids[0]), want)
+
+
+def test_op9_shared_ids(spark, shared_ids):
+    want = []
+    for _, d, b in _in_order(shared_ids[1]):
+        p = media.padded(b)
+        m = media.to_media(p)
+        want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), media.features(p)))
+    _compare(media.op9_media_columns(spark, shared_ids[0]), want)
+
+
 def test_chunks_follow_content():
     data = np.random.default_rng(1).integers(0, 256, 60000).astype(np.uint8).tobytes()
     a, b = set(media.chunks(data)), set(media.chunks(b"xyz" + data))
