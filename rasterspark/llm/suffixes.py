@@ -312,6 +312,16 @@ def _content(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return h
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans from a and from b have the same bytes, all of them compared."""
+    eight, same = np.concatenate((_eights(data), np.zeros(8, np.uint64))), np.ones(len(a), bool)
+    for k in range(0, LENGTH + SPAN, 8):
+        left = np.clip(lengths - k, 0, 8)
+        shift = ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)
+        same &= (left == 0) | (eight[np.minimum(a + k, len(data))] >> shift == eight[np.minimum(b + k, len(data))] >> shift)
+    return same
+
+
 def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
     """(doc_id, runs array<struct<start, bits>>): removed windows, 64 from ``start`` at most. ``docs(doc_id, packed, at)``."""
 
@@ -339,12 +349,7 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
                 order = np.argsort(content, kind="stable")
                 new = np.concatenate(([True], content[order][1:] != content[order][:-1]))
                 lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                same = lengths[order] == lengths[lead]
-                eight = np.concatenate((_eights(whole), np.zeros(8, np.uint64)))
-                for k in range(0, LENGTH + SPAN - 8, 8):  # the bytes themselves
-                    left = np.clip(lengths[order] - k, 0, 8)
-                    shift = ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)
-                    same &= (left == 0) | (eight[np.minimum(at[order] + k, len(whole))] >> shift == eight[np.minimum(at[lead] + k, len(whole))] >> shift)
+                same = (lengths[order] == lengths[lead]) & _equal(whole, at[order], at[lead], lengths[order])
                 alone = ~same
                 lead = np.where(alone, order, lead)
                 later = doc[order] > doc[lead]

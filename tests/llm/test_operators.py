@@ -218,6 +218,17 @@ def test_suffix_arrays_and_merging():
         assert suffixes.judge_contexts(np.concatenate(parts), np.array([len(p) for p in parts]), np.zeros(60, np.uint32), docs, shard).tolist() == want
 
 
+def test_contexts_are_compared_to_their_last_byte():
+    n = suffixes.LENGTH + suffixes.SPAN - 1
+    for size in (suffixes.LENGTH, n - 1, n):
+        base = np.arange(size).astype(np.uint8)
+        for at in range(size):
+            other = base.copy()
+            other[at] ^= 1
+            found = suffixes._equal(np.concatenate((base, other, base)), np.array([0, 0]), np.array([size, 2 * size]), np.array([size, size]))
+            assert found.tolist() == [False, True]
+
+
 def test_op7(spark, sf):
     import duckdb
 
