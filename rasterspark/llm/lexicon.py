@@ -17,6 +17,38 @@ _PARTS = ("keys", "targets", "skips", "final", "offsets", "ids")
 _TYPES = {"keys": np.int64, "targets": np.int32, "skips": np.int32, "final": np.uint8, "offsets": np.int32, "ids": np.int32}
 
 
+class Words:
+    """Rows of different lengths, one after another in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, np.asarray(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, column) -> Words:
+        """The bytes of a ``large_binary`` column without nulls."""
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2]
+        flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        return cls(flat[ends[0] : ends[-1]], np.diff(ends))
+
+    def take(self, rows: np.ndarray) -> Words:
+        sizes = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return Words(self.flat[at], sizes)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum of the values it numbers."""
+        total = np.concatenate(([0], np.cumsum(np.asarray(values, np.int64)[self.flat])))
+        return total[self.starts + self.sizes] - total[self.starts]
+
+    def one(self, row: int) -> bytes:
+        return self.flat[self.starts[row] : self.starts[row] + self.sizes[row]].tobytes()
+
+    def lists(self) -> list[list[int]]:
+        return [self.flat[a : a + n].tolist() for a, n in zip(self.starts.tolist(), self.sizes.tolist())]
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Incremental construction from the sorted words (Daciuk and others, 2000)."""
     register: dict[tuple, int] = {}
@@ -81,14 +113,12 @@ class Lexicon:
             setattr(self, k, np.asarray(data[offset : offset + n].view(_TYPES[k])))
             offset += n + -n % 8
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
+    def ranks(self, words: Words) -> np.ndarray:
         """The rank of each word, -1 for one that is not in the lexicon. All words step together."""
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        first = np.cumsum(n) - n
-        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n, flat, first = words.sizes, words.flat, words.starts
+        state, rank = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         if not len(self.keys):
-            return np.full(len(words), -1)
+            return np.full(len(n), -1)
         live, step = np.flatnonzero(n > 0), 0
         state[n == 0] = -1
         while len(live):
@@ -103,5 +133,5 @@ class Lexicon:
         ok[ok] = self.final[state[ok]] > 0
         return np.where(ok, rank, -1)
 
-    def outputs(self, rank: int) -> list[int]:
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()
+    def outputs(self, ranks: np.ndarray) -> Words:
+        return Words(self.ids, np.diff(self.offsets)).take(ranks)

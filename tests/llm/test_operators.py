@@ -143,8 +143,21 @@ def test_bpe_on_odd_text():
     e = bpe.Encoder(bpe.vocabulary_path(), bpe.compile_lexicon({w: v.merge(w) for w in (b" the", b"the", b" th")}))
     pool = "ab the'sll 've\n\t    　\x1c\x85²½१ǅſé漢\U0001f44d́<|endoftext|>_-12 .!'t\r"
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 50))) for _ in range(500)] + ["<|endoftext|>" * 2, "a" * 3000]
-    for x, ids in zip(texts, e.encode_all(texts)):
-        assert ids == t.encode(x, add_special_tokens=False).ids and e.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    texts += ["".join(r.choice("a   \n\t'.é") for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    n, found, raw = e.encode(texts)
+    decimal = e.encode(texts, decimal=True)[1].to_pylist()
+    for x, k, ids, back, shown in zip(texts, n, found.to_pylist(), raw.to_pylist(), decimal):
+        want = t.encode(x, add_special_tokens=False).ids
+        assert ids == want and k == len(want) and shown == ",".join(map(str, want))
+        assert e.decode(ids) == back.decode() == t.decode(want, skip_special_tokens=False)
+    none = bpe.Encoder(bpe.vocabulary_path(), bpe.compile_lexicon({}))
+    assert none.encode(texts)[1].equals(found) and none.encode([])[0].tolist() == []
+
+
+def test_bpe_merges_words_together_as_alone():
+    r, v = random.Random(4), bpe.vocabulary(bpe.vocabulary_path())
+    words = [bytes(r.choice(b" aaaathenioz\xc3\xa9\xe6012--") for _ in range(r.choice((1, 2, 5, 9, 16, 30, 48, 49, 70)))) for _ in range(3000)] + [b" " * 60, b"a" * 48, b""]
+    assert v.merge_all(bpe.Words.of(bpe.pa.array(words, bpe.pa.large_binary()))).lists() == [v.merge(w) for w in words]
 
 
 def test_op4(spark, sf, docs):
