@@ -6,6 +6,7 @@ Bit order is most significant first throughout, as the formats define it.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,9 +34,9 @@ def pack_bits(values: np.ndarray, bits: int) -> bytes:
     return np.packbits(spread.astype(np.uint8).ravel()).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """TIFF LZW: 9 to 12 bits, clear 256, end 257, early change."""
-    out, table, width, previous = [], [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """TIFF LZW: 9 to 12 bits, clear 256, end 257, early change. Ends once ``most`` bytes are there."""
+    out, table, width, previous, size = [], [bytes([i]) for i in range(256)] + [b"", b""], 9, None, 0
     buffer = held = 0
     for byte in data:
         buffer, held = (buffer << 8 | byte) & 0xFFFFFFFF, held + 8
@@ -58,6 +59,9 @@ def lzw_decode(data: bytes) -> bytes:
                 entry = table[code] if code < len(table) else previous + previous[:1]
                 table.append(previous + entry[:1])
             out.append(entry)
+            size += len(entry)
+            if most is not None and size >= most:
+                return b"".join(out)
             previous = entry
             width = min(12, max(9, (len(table) + 1).bit_length()))
     return b"".join(out)
@@ -96,9 +100,10 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(chunks)
 
 
-def inflate(data: bytes) -> bytes:
+def inflate(data: bytes, most: int | None = None) -> bytes:
+    """At most ``most`` bytes; what a stream holds beyond them is not made."""
     try:
-        return zlib.decompress(data)
+        return zlib.decompress(data) if most is None else zlib.decompressobj().decompress(data, max(1, most))
     except zlib.error as e:
         raise DecodeError(f"deflate: {e}") from None
 
@@ -118,6 +123,8 @@ def unslice(samples: np.ndarray, slices: tuple[int, int, int], height: int) -> n
     """Vertical slices, each row-major, side by side: ``slices`` = (count, width, last width)."""
     count, width, last = slices
     flat, parts, at = samples.ravel(), [], 0
+    if min(count, width, last) < 0 or (count * width + last) * height != len(flat):
+        raise DecodeError("slices: their size differs from the samples'")
     for w in [width] * count + [last]:
         parts.append(flat[at : at + w * height].reshape(height, w))
         at += w * height
@@ -167,13 +174,7 @@ def ljpeg_decode(data: bytes) -> np.ndarray:
             while at + 17 <= len(body):
                 counts = body[at + 1 : at + 17]
                 symbols = body[at + 17 : at + 17 + sum(counts)]
-                code, k, table = 0, 0, {}
-                for length, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table[length, code] = symbols[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                tables[body[at] & 15] = _lookup(table)
+                tables[body[at] & 15] = _lookup(counts, symbols)
                 at += 17 + sum(counts)
         elif marker == 0xDA:
             n = body[0]
@@ -188,17 +189,25 @@ def ljpeg_decode(data: bytes) -> np.ndarray:
     return _scan(stream, [tables[s] for s in selectors], precision, height, width, components, predictor)
 
 
-def _lookup(table: dict) -> list[tuple[int, int]]:
-    out = [(0, -1)] * 65536
-    for (length, code), symbol in table.items():
-        base = code << (16 - length)
-        for i in range(base, min(base + (1 << (16 - length)), 65536)):
-            out[i] = (length, symbol)
+@lru_cache(maxsize=64)
+def _lookup(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(code length, symbol) of the next 16 bits; (0, -1) where no code begins so."""
+    out, code, k = [(0, -1)] * 65536, 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            first, size = code << (16 - length), 1 << (16 - length)
+            if k >= len(symbols) or first + size > 65536:
+                raise DecodeError("lossless JPEG: a broken code table")
+            out[first : first + size] = [(length, symbols[k])] * size
+            code, k = code + 1, k + 1
+        code <<= 1
     return out
 
 
 def _scan(stream, tables, precision, height, width, components, predictor):
     total, size = len(stream) * 8, len(stream)
+    if height * width * components > total:  # a sample takes one bit at least
+        raise DecodeError(f"lossless JPEG: the stream of {size} bytes ends early")
     stream = stream + b"\0" * 8
     out = [[[0] * components for _ in range(width)] for _ in range(height)]
     bit, read = 0, int.from_bytes

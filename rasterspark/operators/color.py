@@ -54,6 +54,13 @@ def to_rgb(samples: Column, spp: Column) -> Column:
     return F.when(spp == 1, F.array(one, one, one)).when(spp.isin(3, 4), F.slice(samples, 1, 3))
 
 
+def to_display(samples: Column, spp: Column, bits: Column, is_float: Column | None = None) -> Column:
+    """``to_rgb`` with the gamma of the depth: 8 and 16 bits; 32-bit floats as they are; other depths are null."""
+    rgb = to_rgb(samples, spp)
+    plain = (bits == 32) & (is_float if is_float is not None else F.lit(False))
+    return F.when(bits == 8, F.transform(rgb, gamma8)).when(bits == 16, F.transform(rgb, gamma16)).when(plain, rgb)
+
+
 def matrix3(rgb: RGB, m: list[list[float]]) -> RGB:
     """Row vector times matrix."""
     return tuple(sum((rgb[i] * float(m[i][j]) for i in range(1, 3)), rgb[0] * float(m[0][j])) for j in range(3))
@@ -82,9 +89,20 @@ def camera_to_srgb(white_balance: list[float], color_matrix: list[list[float]])
     return multiply3(multiply3(XYZ_TO_SRGB, D50_TO_D65), invert3(balanced))
 
 
-def blend_by_temperature(kelvin: float, warm: list[list[float]], cool: list[list[float]], low: float = 3200.0, high: float = 7000.0) -> list[list[float]]:
-    """Linear in the inverse temperature between two matrices."""
-    t = (1 / min(max(kelvin, low), high) - 1 / high) / (1 / low - 1 / high)
+#: A published camera pipeline's matrices for 3200 K and 7000 K; the fourth column is added.
+WARM_3200 = [[2.2997, -0.4478, 0.1706, -39.0923], [-0.3826, 1.5906, -0.2080, -25.4311], [-0.0888, -0.7344, 2.2832, -20.0826]]
+COOL_7000 = [[1.6697, -0.2693, -0.4004, -42.4346], [-0.3576, 1.0615, 1.5949, -37.1158], [-0.2175, -1.8751, 6.9640, -26.6970]]
+
+
+def affine3(rgb: RGB, m: list[list[float]]) -> RGB:
+    """3 x 4 matrix times column vector (r, g, b, 1)."""
+    r, g, b = rgb
+    return tuple(r * float(row[0]) + g * float(row[1]) + b * float(row[2]) + float(row[3]) for row in m)
+
+
+def blend_by_temperature(kelvin: float, warm: list[list[float]] = WARM_3200, cool: list[list[float]] = COOL_7000, low: float = 3200.0, high: float = 7000.0, beyond: bool = False) -> list[list[float]]:
+    """Linear in the inverse temperature between two matrices; ``beyond`` goes on outside of their temperatures."""
+    t = (1 / (kelvin if beyond else min(max(kelvin, low), high)) - 1 / high) / (1 / low - 1 / high)
     return [[t * w + (1 - t) * c for w, c in zip(a, b)] for a, b in zip(warm, cool)]
 
 

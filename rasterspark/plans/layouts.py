@@ -59,7 +59,7 @@ def sub_directories(spark, sf_dir):
         image = lambda w: {"tags": container.image_tags(w, 1, 8), "data": bytes(w)}
         return [image(n + 1) | {"children": [image(n + 2), image(n + 3)]}]
 
-    return reader.images(_made(_suppliers(spark, sf_dir), one)).select(F.col("path").cast("long"), "image_idx", "width")
+    return reader.images(_made(_suppliers(spark, sf_dir), one)).select(F.col("path").cast("long"), "image_idx", F.col("width").cast("int"))
 
 
 @query("SELECT p_partkey AS path, round(p_retailprice, 4) AS gain, round(-p_retailprice / 8, 4) AS weight FROM part")
@@ -92,7 +92,7 @@ def typed_tags(spark, sf_dir):
         return [{"tags": container.image_tags(1, 1, 8, tag50936=(2, f"nation {n}"), tag50706=(1, [(1, 4)[n % 2], 0, 0, 0]), tag50829=(4, [n, 0, n + 1, 1]), tag274=(3, [1 + n % 8])), "data": b"\0"}]
 
     got = reader.images(_made(_suppliers(spark, sf_dir), one))
-    return got.select(F.col("path").cast("long"), "profile_name", F.col("version").cast("long"), F.col("active_area")[0].alias("area_top"), "orientation")
+    return got.select(F.col("path").cast("long"), "profile_name", F.col("version").cast("long"), F.col("active_area")[0].alias("area_top"), F.col("orientation").cast("int"))
 
 
 @query(f"WITH {_FRAMES_SQL} SELECT frame, y, x, floor(v * v / 4096) AS v FROM frames")

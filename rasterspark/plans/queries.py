@@ -62,7 +62,7 @@ def query(sql: str):
 FROM frames GROUP BY frame""")
 def header_parse(spark, sf_dir):
     got = reader.images(_files(spark, sf_dir, bits=12))
-    return got.select(F.col("path").cast("long"), F.col("width").cast("long"), F.col("height").cast("long"), "bits_per_sample_original", F.element_at("white_level", 1).cast("int").alias("white"), F.lit(True).alias("ok"))
+    return got.select(F.col("path").cast("long"), F.col("width").cast("long"), F.col("height").cast("long"), F.col("bits_per_sample_original").cast("int"), F.element_at("white_level", 1).cast("int").alias("white"), F.lit(True).alias("ok"))
 
 
 @query(f"WITH {_FRAMES_SQL} SELECT frame AS path, unnest([256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339]) AS tag FROM (SELECT DISTINCT frame FROM frames)")
@@ -232,7 +232,7 @@ def metadata_dump(spark, sf_dir):
 
 @query(f"WITH {_FRAMES_SQL} SELECT frame AS path, 0 AS seg_idx, 8 AS start, CAST((max(y) + 1) * ((max(x) + 1) * 12 // 8) AS BIGINT) AS byte_count, CAST(max(y) + 1 AS INTEGER) AS n_rows FROM frames GROUP BY frame")
 def segment_scan(spark, sf_dir):
-    return reader.segments(_files(spark, sf_dir, bits=12)).select(F.col("path").cast("long"), "seg_idx", F.col("offset").cast("int").alias("start"), "byte_count", F.col("rows").alias("n_rows"))
+    return reader.segments(_files(spark, sf_dir, bits=12)).select(F.col("path").cast("long"), "seg_idx", F.col("offset").cast("int").alias("start"), "byte_count", F.col("rows").cast("int").alias("n_rows"))
 
 
 @query("SELECT doc_id AS path, octet_length(encode(coalesce(text, ''))) >= 32 AND substr(text, 1, 2) IN ('II', 'MM') AS ok, CAST(0 AS INTEGER) AS n_images FROM documents")

@@ -17,7 +17,7 @@ from ..functions import codecs, jpeg
 from ..functions.codecs import DecodeError
 
 #: Fixed values of the format: type code -> (size, struct letter).
-TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I")}
+TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 #: Fixed limits: images and directories of a file, nesting, samples.
 MOST_IMAGES, MOST_NESTED, MOST_BYTES = 10240, 1024, 2 << 30
 #: Fixed tag numbers of scalar and list fields: name -> (tag, wanted count or None).
@@ -35,6 +35,7 @@ LISTS = {
 }
 TEXTS = {"profile_name": 50936, "semantic_name": 52526}
 SUB_IFDS, JPEG_OFFSET, OPCODES = 330, 513, (51008, 51009, 51010)
+_BEYOND = 1 << 63
 _IDENTITY = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
 DEFAULTS = {
     "samples_per_pixel": 1, "bits_per_sample_original": -1, "compression": 1, "orientation": 1, "planar_configuration": 1, "predictor": 1, "rows_per_strip": -1,
@@ -87,6 +88,8 @@ def _wholes(entry: dict) -> list[int]:
         if any(d == 0 for _, d in entry["values"]):
             raise DecodeError(f"tag {entry['tag']}: zero denominator")
         return [int(n / d) for n, d in entry["values"]]
+    if not all(-_BEYOND <= v < _BEYOND for v in entry["values"]):  # NaN too
+        raise DecodeError(f"tag {entry['tag']}: not a whole number of 63 bits")
     return [int(v) for v in entry["values"]]
 
 
@@ -114,12 +117,16 @@ def gain_maps(raw: bytes) -> list[dict]:
 
 
 def white_levels(levels: list[int], bits: int, decoded_bits: int) -> list[int]:
-    """-1 means the largest value of the original depth; then no more than the decoded depth holds."""
+    """-1 means the largest value of the original depth; then no more than ``decoded_bits`` hold."""
     out = [(1 << bits) - 1 if w == -1 and 0 < bits < 32 else w for w in levels]
     return [min(w, (1 << decoded_bits) - 1) if 0 < decoded_bits < 30 else w for w in out]
 
 
-def _image(entries: dict[int, dict], custom: list[tuple[int, int, str]]) -> dict:
+#: Lists whose count must be even.
+_EVEN = ("profile_tone_curve", "noise_profile")
+
+
+def _image(entries: dict[int, dict], custom: list[tuple[int, int, str]], warn: list[str]) -> dict:
     image = dict(DEFAULTS, custom_fields={}, gain_maps=[])
     for name, (tag, _) in NUMBERS.items():
         if tag in entries and entries[tag]["count"]:
@@ -132,6 +139,18 @@ def _image(entries: dict[int, dict], custom: list[tuple[int, int, str]]) -> dict
             e = entries[tag]
             real = name in ("analog_balance", "as_shot_neutral", "profile_tone_curve", "noise_profile") or "matrix" in name or "calibration" in name
             image[name] = _reals(e) if real else list(e["values"]) if isinstance(e["values"], bytes) else _wholes(e)
+    for name in _EVEN:
+        if len(image.get(name) or ()) % 2:
+            warn.append(f"{name}: an odd count")
+            del image[name]
+    if image["profile_embed_policy"] not in range(-1, 4):
+        warn.append(f"profile_embed_policy: {image['profile_embed_policy']}")
+        image["profile_embed_policy"] = -1
+    if 33421 in entries and 33422 in entries:
+        dim = _wholes(entries[33421])
+        if len(dim) == 2 and len(image["cfa_pattern"]) != dim[0] * dim[1]:
+            warn.append(f"cfa_pattern: {len(image['cfa_pattern'])} colours")
+            image["cfa_pattern"] = DEFAULTS["cfa_pattern"]
     for name, tag in TEXTS.items():
         if tag in entries:
             raw = entries[tag]["raw"]
@@ -145,9 +164,13 @@ def _image(entries: dict[int, dict], custom: list[tuple[int, int, str]]) -> dict
         image["strip_offsets"] = _wholes(entries[JPEG_OFFSET])[:1]
     levels = lambda name, default: (image.get(name) or [default] * spp)[:spp]
     image["black_level"] = levels("black_level", 0)
-    image["white_level"] = white_levels(levels("white_level", -1), image["bits_per_sample_original"], 0)
+    image["white_level"] = white_levels(levels("white_level", -1), *[image["bits_per_sample_original"]] * 2)
     version = image.pop("dng_version", [0] * 4)
-    image["version"] = sum(v << (8 * i) for i, v in enumerate(version[:4]))
+    image["version"] = sum((v & 255) << (8 * i) for i, v in enumerate(version[:4]))
+    if image["compression"] == 1 and image.get("jpeg_byte_count", 0) > 0:  # a preview whose payload is a JPEG file: no samples
+        image |= {"width": 0, "height": 0}
+        if image["bits_per_sample_original"] < 0:
+            image["bits_per_sample_original"] = 8
     height, rows = image.get("height"), image["rows_per_strip"]
     image["strips_per_image"] = -(-height // rows) if height and rows > 0 else -1
     for number, tag in enumerate(OPCODES, 1):
@@ -179,12 +202,16 @@ def parse(data: bytes | None, custom: list[tuple[int, int, str]] = ()) -> dict:
             if e["tag"] < 254:
                 raise DecodeError(f"tag {e['tag']}")
             entries[e["tag"]] = e
-            out["tags"].append({"ifd_offset": at, **{x: e[x] for x in ("tag", "type", "count", "raw")}})
+            pairs = e["values"] if e["type"] in (5, 10) else None
+            numbers = _reals(e) if TYPES.get(e["type"], (1, "s"))[1] != "s" else None
+            out["tags"].append({"ifd_offset": at, "numbers": numbers, "pairs": pairs and [{"numerator": n, "denominator": d} for n, d in pairs], **{x: e[x] for x in ("tag", "type", "count", "raw")}})
         if SUB_IFDS in entries:
             for child in _wholes(entries[SUB_IFDS]):
                 directory(child, depth + 1)
         if len(out["images"]) < MOST_IMAGES:
-            out["images"].append(_image(entries, list(custom)) | {"ifd_offset": at, "big_endian": r.order == ">"})
+            warn: list[str] = []
+            out["images"].append(_image(entries, list(custom), warn) | {"ifd_offset": at, "big_endian": r.order == ">"})
+            out["warn"] += "".join(f"{w}; " for w in warn)
         else:
             out["warn"] += f"more than {MOST_IMAGES} images; "
         return r.number("I", at + 2 + 12 * n)
@@ -193,31 +220,74 @@ def parse(data: bytes | None, custom: list[tuple[int, int, str]] = ()) -> dict:
         at, steps = r.number("I", 4), 0
         while at and steps < MOST_IMAGES:
             at, steps = directory(at, 0), steps + 1
-    except (DecodeError, struct.error, KeyError, IndexError, OverflowError, MemoryError, RecursionError) as e:
+    except (ValueError, struct.error, KeyError, IndexError, OverflowError, MemoryError, RecursionError) as e:
         out["ok"], out["err"] = False, str(e)
     return out
 
 
 def segments(image: dict) -> list[dict]:
-    """Strips or tiles: seg_idx, offset, byte_count, y0, x0, rows, cols."""
+    """Strips or tiles: seg_idx, offset, byte_count, y0, x0, rows, cols, c0 (the channel, where each has its own segments)."""
     w, h = image.get("width") or 0, image.get("height") or 0
+    if w <= 0 or h <= 0:
+        return []
+    planes = image["samples_per_pixel"] if image["planar_configuration"] == 2 else 1
     if image.get("tile_offsets") and image["tile_width"] > 0 and image["tile_length"] > 0:
-        tw, tl = image["tile_width"], image["tile_length"]
-        across = -(-w // tw)
-        return [{"seg_idx": k, "offset": o, "byte_count": c, "y0": k // across * tl, "x0": k % across * tw, "rows": tl, "cols": tw} for k, (o, c) in enumerate(zip(image["tile_offsets"], image.get("tile_byte_counts") or [-1] * len(image["tile_offsets"])))]
-    offsets = image.get("strip_offsets") or []
-    rows = image["rows_per_strip"] if image["rows_per_strip"] > 0 else h
-    counts = image.get("strip_byte_counts") or ([image["jpeg_byte_count"]] if image.get("jpeg_byte_count") else [-1] * len(offsets))
-    return [{"seg_idx": k, "offset": o, "byte_count": c, "y0": k * rows, "x0": 0, "rows": max(0, min(rows, h - k * rows)), "cols": w} for k, (o, c) in enumerate(zip(offsets, counts))]
+        offsets, counts, rows, cols, tiled = image["tile_offsets"], image.get("tile_byte_counts"), image["tile_length"], image["tile_width"], True
+    else:
+        offsets, counts, cols, tiled = image.get("strip_offsets") or [], image.get("strip_byte_counts"), w, False
+        rows = min(image["rows_per_strip"], h) if image["rows_per_strip"] > 0 else h
+        counts = counts or ([image["jpeg_byte_count"]] if image.get("jpeg_byte_count") else None)
+    across, out = -(-w // cols), []
+    each = max(1, across * -(-h // rows)) if planes > 1 else max(1, len(offsets))
+    for k, (o, c) in enumerate(zip(offsets, counts or [-1] * len(offsets))):
+        c0, at = divmod(k, each)
+        y0 = at // across * rows
+        out.append({"seg_idx": k, "offset": o, "byte_count": c, "y0": y0, "x0": at % across * cols, "rows": rows if tiled else max(0, min(rows, h - y0)), "cols": cols, "c0": c0, "tiled": tiled})
+    return out
+
+
+#: What decoding needs of an image.
+NEEDED = ("samples_per_pixel", "bits_per_sample_original", "sample_format", "compression", "planar_configuration", "predictor", "cr2_slices", "big_endian")
+
+
+def payload_of(data: bytes, seg: dict) -> bytes:
+    end = seg["offset"] + seg["byte_count"] if seg["byte_count"] > 0 else len(data)
+    return data[max(0, seg["offset"]) : max(0, end)]
 
 
 def decode_segment(data: bytes, image: dict, seg: dict) -> np.ndarray:
-    """Samples (rows, cols, spp) of one segment; floats if the sample format says so."""
-    spp, bits, kind, compression = image["samples_per_pixel"], image["bits_per_sample_original"], image["sample_format"], image["compression"]
+    """Samples (rows, cols, channels) of one segment of a file; floats if the sample format says so."""
+    return decode_payload(payload_of(data, seg), image, seg)
+
+
+def decode_payload(payload: bytes, image: dict, seg: dict) -> np.ndarray:
+    """Whatever is wrong with a payload is a ``DecodeError``."""
+    try:
+        return _decoded(payload, image, seg)
+    except DecodeError:
+        raise
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, struct.error, MemoryError) as e:
+        raise DecodeError(f"a damaged payload: {e}") from None
+
+
+def _fit(decoded: np.ndarray, rows: int, cols: int, spp: int, tiled: bool) -> np.ndarray:
+    """A stream's samples in the place they stand for: all in order if they are as many, else the rows' beginnings."""
+    if decoded.size == rows * cols * spp:
+        return decoded.reshape(rows, cols, spp)
+    flat = decoded.reshape(decoded.shape[0], -1)
+    if not tiled and (flat.shape[0] < rows or flat.shape[1] < cols * spp):
+        raise DecodeError("lossless JPEG: smaller than its strip")
+    out = np.zeros((rows, cols * spp), decoded.dtype)
+    part = flat[:rows, : cols * spp]
+    out[: part.shape[0], : part.shape[1]] = part
+    return out.reshape(rows, cols, spp)
+
+
+def _decoded(payload: bytes, image: dict, seg: dict) -> np.ndarray:
+    bits, kind, compression = image["bits_per_sample_original"], image["sample_format"], image["compression"]
+    spp = 1 if image["planar_configuration"] == 2 else image["samples_per_pixel"]
     rows, cols = seg["rows"], seg["cols"]
-    end = seg["offset"] + seg["byte_count"] if seg["byte_count"] > 0 else len(data)
-    payload = data[seg["offset"] : end]
-    if not payload or rows * cols * spp * max(bits, 1) // 8 > MOST_BYTES:
+    if not payload or rows <= 0 or cols <= 0 or rows * cols * spp * max(bits, 1) // 8 > MOST_BYTES:
         raise DecodeError("no payload, or too large an image")
     if compression in (6, 7, 34892) and codecs.jpeg_frame(payload)[0] != 0xC3:
         decoded = jpeg.decode(payload)
@@ -227,35 +297,30 @@ def decode_segment(data: bytes, image: dict, seg: dict) -> np.ndarray:
     if compression in (6, 7):
         decoded = codecs.ljpeg_decode(payload)
         if any(image["cr2_slices"]):
-            n, width, last = image["cr2_slices"]
-            return codecs.unslice(decoded, (n, width, last), rows)[:, :, None]
-        if decoded.size != rows * cols * spp:
-            if seg["x0"] or decoded.size < rows * cols * spp:
-                raise DecodeError("lossless JPEG: size differs from the segment's")
-        return decoded.reshape(-1)[: rows * cols * spp].reshape(rows, cols, spp)
+            return codecs.unslice(decoded, tuple(image["cr2_slices"][:3]), rows)[:, :, None]
+        return _fit(decoded, rows, cols, spp, seg.get("tiled", False))
+    if kind == 3 and bits in (32, 64):
+        dtype = np.dtype(f"f{bits // 8}")
+    elif bits in (8, 16, 32):
+        dtype = np.dtype(f"{'i' if kind == 2 else 'u'}{bits // 8}")
+    elif 1 <= bits <= 31:
+        dtype = None
+    else:
+        raise DecodeError(f"a depth of {bits} bits")
+    stride = cols * spp * dtype.itemsize if dtype else -(-cols * spp * bits // 8)  # packed rows start on a byte
+    need = stride * rows
     if compression == 5:
-        payload = codecs.lzw_decode(payload)
+        payload = codecs.lzw_decode(payload, need)
     elif compression in (8, 32946):
-        payload = codecs.inflate(payload)
+        payload = codecs.inflate(payload, need)
     elif compression != 1:
         raise DecodeError(f"compression {compression} is not supported")
-    order = ">" if image["big_endian"] else "<"
-    if kind == 3 and bits in (32, 64):
-        dtype = np.dtype(f"{order}f{bits // 8}")
-    elif bits in (8, 16, 32):
-        dtype = np.dtype(f"{order}{'i' if kind == 2 else 'u'}{bits // 8}")
-    else:
-        dtype = None
+    if len(payload) < need:
+        raise DecodeError("the payload ends early")
     if dtype is not None:
-        need = rows * cols * spp * dtype.itemsize
-        if len(payload) < need:
-            raise DecodeError("the payload ends early")
-        out = np.frombuffer(payload[:need], dtype).reshape(rows, cols, spp)
+        out = np.frombuffer(payload[:need], dtype.newbyteorder(">" if image["big_endian"] else "<")).reshape(rows, cols, spp)
         out = out.astype(np.float64) if kind == 3 else out.astype(np.int64)
-    else:  # packed rows start on a byte
-        stride = -(-cols * spp * bits // 8)
-        if len(payload) < stride * rows or not 1 <= bits <= 31:
-            raise DecodeError("the payload ends early, or an unknown depth")
+    else:
         out = np.stack([codecs.unpack_bits(payload[y * stride : (y + 1) * stride], bits, cols * spp) for y in range(rows)]).reshape(rows, cols, spp)
     if image["predictor"] == 2:
         out = codecs.undo_differencing(out, bits)
@@ -335,15 +400,21 @@ def image_tags(width: int, height: int, bits: int, spp: int = 1, compression: in
     return tags | {int(k[3:]): v for k, v in more.items()}
 
 
+def _one_or_three(pixels: np.ndarray) -> tuple[int, int, int]:
+    if pixels.ndim != 3 or pixels.shape[2] not in (1, 3):
+        raise ValueError(f"one or three channels are needed, not an array of shape {pixels.shape}")
+    return pixels.shape
+
+
 def to_pfm(pixels: np.ndarray) -> bytes:
     """Portable float map, little-endian, rows as given; one or three channels."""
-    height, width, channels = pixels.shape
+    height, width, channels = _one_or_three(pixels)
     return f"{'PF' if channels == 3 else 'Pf'}\n{width} {height}\n-1.0\n".encode() + pixels.astype("<f4").tobytes()
 
 
 def to_exr(pixels: np.ndarray) -> bytes:
     """OpenEXR, uncompressed scan lines of 32-bit floats; channels Y, or B G R in file order."""
-    height, width, channels = pixels.shape
+    height, width, channels = _one_or_three(pixels)
     names = ["Y"] if channels == 1 else ["B", "G", "R"]
     text = lambda s: s.encode() + b"\0"
     attribute = lambda name, kind, body: text(name) + text(kind) + struct.pack("<I", len(body)) + body

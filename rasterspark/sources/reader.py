@@ -8,6 +8,9 @@ files stay.
 
 from __future__ import annotations
 
+import json
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +20,21 @@ from ..functions.codecs import DecodeError
 from . import container
 
 FILES = "path string, content binary"
-TAGS = "path string, ifd_offset long, tag int, type int, count long, raw binary"
+TAGS = "path string, ifd_offset long, tag int, type int, count long, raw binary, numbers array<double>, pairs array<struct<numerator:long,denominator:long>>"
 GAIN = "list_no int, gm_idx int, top long, left long, bottom long, right long, plane long, planes long, row_pitch long, col_pitch long, map_points_v long, map_points_h long, map_spacing_v double, map_spacing_h double, map_origin_v double, map_origin_h double, map_planes long, pixels array<float>"
 _INTS = ["width", "height", "bits_per_sample_original", "compression", "orientation", "samples_per_pixel", "rows_per_strip", "strips_per_image", "planar_configuration", "predictor", "tile_width", "tile_length", "sample_format", "jpeg_byte_count", "cfa_pattern_dim", "cfa_layout", "calibration_illuminant1", "calibration_illuminant2", "profile_embed_policy", "version"]
 _LONG_LISTS = ["strip_offsets", "strip_byte_counts", "tile_offsets", "tile_byte_counts", "black_level", "white_level", "cfa_pattern", "cfa_plane_color", "cr2_slices", "active_area"]
 _REAL_LISTS = ["color_matrix1", "color_matrix2", "forward_matrix1", "forward_matrix2", "camera_calibration1", "camera_calibration2", "analog_balance", "as_shot_neutral", "profile_tone_curve", "noise_profile"]
 IMAGES = (
     "path string, image_idx int, big_endian boolean, "
-    + ", ".join(f"{n} int" for n in _INTS)
+    + ", ".join(f"{n} long" for n in _INTS)
     + ", "
     + ", ".join(f"{n} array<long>" for n in _LONG_LISTS)
     + ", "
     + ", ".join(f"{n} array<double>" for n in _REAL_LISTS)
     + ", profile_name string, semantic_name string, custom_fields map<string,struct<tag:int,type:int,data:binary>>"
 )
-SEGMENT = "seg_idx int, offset long, byte_count long, y0 int, x0 int, rows int, cols int"
+SEGMENT = "seg_idx int, offset long, byte_count long, y0 long, x0 long, rows long, cols long, c0 int"
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -51,7 +54,7 @@ def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
 
-def _mapped(files: DataFrame, rows_of, ddl: str) -> DataFrame:
+def _mapped(files: DataFrame, rows_of, ddl: str, columns=("path", "content"), at_once: int = 4096) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -61,16 +64,16 @@ def _mapped(files: DataFrame, rows_of, ddl: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = rows_of(path, content)
-                for at in range(0, len(rows), 4096):
-                    yield _table(rows[at : at + 4096], arrow)
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = iter(rows_of(*values))
+                while part := list(islice(rows, at_once)):
+                    yield _table(part, arrow)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select(*columns).mapInArrow(run, schema)
 
 
 def tags(files: DataFrame) -> DataFrame:
-    """Every directory entry, unknown ones included."""
+    """Every directory entry, unknown ones included: raw bytes, and the numbers that they hold (pairs for rationals)."""
     return _mapped(files, lambda p, b: [t | {"path": p} for t in container.parse(b)["tags"]], TAGS)
 
 
@@ -106,34 +109,59 @@ def segments(files: DataFrame) -> DataFrame:
     return _mapped(files, lambda p, b: [s | {"path": p, "image_idx": k} for k, i in enumerate(container.parse(b)["images"]) for s in container.segments(i)], f"path string, image_idx int, {SEGMENT}")
 
 
-def rasters(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None) -> DataFrame:
-    """Decoded segments: samples as an array in (row, column, channel) order, with ok and err.
+_PAYLOAD = f"path string, image_idx int, {SEGMENT}, width long, height long, head string, payload binary"
+_DECODED = f"path string, image_idx int, {SEGMENT}, width long, height long, spp int, ok boolean, err string, samples array<double>"
 
-    Only segments that meet ``region`` (top, left, bottom, right) are decoded.
-    """
+
+def payloads(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, raw_bytes: bool = False) -> DataFrame:
+    """The stored bytes of every segment, not decoded, with what decoding needs of its image (``head``, JSON)."""
 
     def rows(p, b):
-        out = []
         for k, image in enumerate(container.parse(b)["images"]):
             if image_idx is not None and k != image_idx:
                 continue
             for s in container.segments(image):
                 if region and not (s["y0"] < region[2] and region[0] < s["y0"] + s["rows"] and s["x0"] < region[3] and region[1] < s["x0"] + s["cols"]):
                     continue
-                row = s | {"path": p, "image_idx": k, "spp": image["samples_per_pixel"], "width": image.get("width"), "height": image.get("height"), "ok": True, "err": ""}
-                try:
-                    v = container.decode_segment(b, image, s)
-                    row |= {"rows": v.shape[0], "cols": v.shape[1], "spp": v.shape[2], "samples": v.ravel().astype(np.float64)}
-                except DecodeError as e:
-                    row |= {"ok": False, "err": str(e), "samples": None}
-                out.append(row)
-        return out
+                head = json.dumps({n: image[n] for n in container.NEEDED} | {"tiled": s["tiled"]} | ({"big_endian": False} if raw_bytes else {}))
+                yield s | {"path": p, "image_idx": k, "width": image.get("width"), "height": image.get("height"), "head": head, "payload": container.payload_of(b, s)}
+
+    return _mapped(files, rows, _PAYLOAD, at_once=64)
+
+
+def decoded(payloads_: DataFrame) -> DataFrame:
+    """``payloads`` with samples as an array in (row, column, channel) order, ok and err; one segment is in memory at a time."""
+    names = [c.split()[0] for c in _PAYLOAD.split(", ")]
 
-    return _mapped(files, rows, f"path string, image_idx int, {SEGMENT}, width int, height int, spp int, ok boolean, err string, samples array<double>")
+    def rows(*values):
+        row = dict(zip(names, values))
+        head, payload = json.loads(row.pop("head")), row.pop("payload")
+        row |= {"spp": 1 if head["planar_configuration"] == 2 else head["samples_per_pixel"], "ok": True, "err": ""}
+        try:
+            if max(row["y0"] + row["rows"], row["x0"] + row["cols"]) >= 1 << 31:
+                raise DecodeError("too large an image")
+            v = container.decode_payload(payload, head, row | {"tiled": head["tiled"]})
+            row |= {"rows": v.shape[0], "cols": v.shape[1], "spp": v.shape[2], "samples": v.ravel().astype(np.float64)}
+        except DecodeError as e:
+            row |= {"ok": False, "err": str(e), "samples": None}
+        return [row]
+
+    return _mapped(payloads_, rows, _DECODED, names, at_once=1)
+
+
+def rasters(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, spread: bool = False, raw_bytes: bool = False) -> DataFrame:
+    """Decoded segments. Only segments that meet ``region`` (top, left, bottom, right) are decoded.
+
+    ``spread`` deals the stored bytes of segments out over all tasks before they are
+    decoded, for files that are few and large; otherwise a file's segments stay together.
+    With ``raw_bytes`` samples of big-endian files are not swapped.
+    """
+    rows = payloads(files, region, image_idx, raw_bytes)
+    return decoded(rows.repartition("path", "image_idx", "seg_idx") if spread else rows)
 
 
 def pixels(rasters_: DataFrame) -> DataFrame:
     """(path, image_idx, y, x, c, v); tile parts beyond the image are clipped."""
-    flat = rasters_.filter("ok").select("path", "image_idx", "y0", "x0", "cols", "spp", "width", "height", F.posexplode("samples").alias("i", "v"))
-    out = flat.select("path", "image_idx", (F.col("y0") + F.expr("i div (cols * spp)")).cast("int").alias("y"), (F.col("x0") + F.expr("(i div spp) % cols")).cast("int").alias("x"), F.expr("i % spp").cast("int").alias("c"), "v", "width", "height")
+    flat = rasters_.filter("ok").select("path", "image_idx", "y0", "x0", "cols", "spp", "c0", "width", "height", F.posexplode("samples").alias("i", "v"))
+    out = flat.select("path", "image_idx", (F.col("y0") + F.expr("i div (cols * spp)")).cast("int").alias("y"), (F.col("x0") + F.expr("(i div spp) % cols")).cast("int").alias("x"), (F.col("c0") + F.expr("i % spp")).cast("int").alias("c"), "v", "width", "height")
     return out.filter("x < coalesce(width, x + 1) and y < coalesce(height, y + 1)").drop("width", "height")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import codecs
-from . import container
+from . import container, settings
 
 #: Names of the payload codecs and their compression tag values.
 COMPRESSIONS = {"none": 1, "lzw": 5, "ljpeg": 7, "deflate": 8}
@@ -43,11 +43,16 @@ def parts_of(v: np.ndarray, rows_per_strip: int | None = None, tile: tuple[int,
 def to_containers(
     pixels: DataFrame, bits: int, compression: str = "none", predictor: int = 1, big_endian: bool = False, tags: dict | None = None, ljpeg_predictor: int = 6,
     rows_per_strip: int | None = None, tile: tuple[int, int] | None = None, slices: tuple[int, int, int] | None = None, sample_format: int = 1,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """``pixels(path, image_idx, y, x, c, v)`` -> (path, content): one container per path.
 
     Samples are integers (floats with ``sample_format`` 3) in one strip, strips of
     ``rows_per_strip``, or tiles; ``slices`` orders a lossless JPEG's columns.
+
+    ``headers(path, [image_idx,] settings...)`` sets tags from columns (``settings``), for one
+    image or all of a file, and ``bits`` where it has such a column. The result then has
+    a column ``err``: a file whose settings break a rule has no content, but the reason.
     """
     more = dict(tags or {})
     if predictor != 1:
@@ -59,7 +64,7 @@ def to_containers(
     if slices:
         more[50752] = (3, list(slices))
 
-    def build(group: pa.Table) -> pa.Table:
+    def container_of(group: pa.Table, rows: list[dict]) -> bytes:
         path, idx, y, x, c, v = (group.column(n).to_numpy() for n in ("path", "image_idx", "y", "x", "c", "v"))
         images = []
         for k in np.unique(idx):
@@ -69,12 +74,32 @@ def to_containers(
             samples[y[own], x[own], c[own]] = v[own].astype(samples.dtype)
             if slices:
                 samples = codecs.to_slices(samples[:, :, 0], slices)[:, :, None]
-            head = container.image_tags(w, h, bits, spp, COMPRESSIONS[compression], sample_format) | more
-            payload = [encode_samples(p, bits, compression, predictor, big_endian, ljpeg_predictor, sample_format) for p in parts_of(samples, rows_per_strip, tile)]
+            own = [r for r in rows if r.get("image_idx") in (None, k)]
+            depth = next((r["bits"] for r in own if r.get("bits")), bits)
+            head = container.image_tags(w, h, depth, spp, COMPRESSIONS[compression], sample_format) | more
+            for r in own:
+                head |= settings.tags_of(r, spp)
+            payload = [encode_samples(p, depth, compression, predictor, big_endian, ljpeg_predictor, sample_format) for p in parts_of(samples, rows_per_strip, tile)]
             images.append({"tags": head, "data": payload})
-        return pa.table({"path": pa.array([path[0]], pa.string()), "content": pa.array([container.write(images, big_endian)], pa.binary())})
+        return container.write(images, big_endian)
+
+    def build(group: pa.Table) -> pa.Table:
+        return pa.table({"path": pa.array([group.column("path")[0].as_py()], pa.string()), "content": pa.array([container_of(group, [])], pa.binary())})
+
+    def build_with(group: pa.Table, rows: pa.Table) -> pa.Table:
+        path, content, err = (group if group.num_rows else rows).column("path")[0].as_py(), None, ""
+        try:
+            if not group.num_rows:
+                raise ValueError("no pixels")
+            content = container_of(group, rows.to_pylist())
+        except ValueError as e:
+            err = str(e)
+        return pa.table({"path": pa.array([path], pa.string()), "content": pa.array([content], pa.binary()), "err": pa.array([err], pa.string())})
 
-    return pixels.select("path", "image_idx", "y", "x", "c", "v").groupBy("path").applyInArrow(build, "path string, content binary")
+    grouped = pixels.select("path", "image_idx", "y", "x", "c", "v").groupBy("path")
+    if headers is None:
+        return grouped.applyInArrow(build, "path string, content binary")
+    return grouped.cogroup(headers.groupBy("path")).applyInArrow(build_with, "path string, content binary, err string")
 
 
 def to_float_files(pixels: DataFrame, kind: str = "pfm") -> DataFrame:
@@ -93,24 +118,29 @@ def to_float_files(pixels: DataFrame, kind: str = "pfm") -> DataFrame:
 def save_files(files: DataFrame, folder: str) -> DataFrame:
     """Writes ``files(path, content)`` as ``folder``/path; gives (path, n_bytes) when run.
 
-    ``folder`` must be a mount that all executors share. A file is written beside its
-    place and renamed, so a task that runs twice leaves the same whole file.
+    ``folder`` is a URI of a store that pyarrow opens (file, hdfs, s3, ...) or a mount, and all
+    executors must see it. A file is written beside its place and moved there, so a task
+    that runs twice leaves the same whole file.
     """
 
     def run(batches):
-        import os
+        import posixpath
         import uuid
 
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        root = posixpath.normpath(root)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = os.path.normpath(os.path.join(folder, path))
-                if not at.startswith(os.path.normpath(folder) + os.sep):
+                at = posixpath.normpath(posixpath.join(root, path))
+                if not at.startswith(root + "/"):
                     raise ValueError(f"{path} lies outside {folder}")
-                os.makedirs(os.path.dirname(at), exist_ok=True)
+                store.create_dir(posixpath.dirname(at), recursive=True)
                 beside = f"{at}.{uuid.uuid4().hex}"
-                with open(beside, "wb") as out:
+                with store.open_output_stream(beside) as out:
                     out.write(content)
-                os.replace(beside, at)
+                store.move(beside, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in batch.column(1).to_pylist()], pa.int64())], names=["path", "n_bytes"])
 
     return files.select("path", "content").mapInArrow(run, "path string, n_bytes long")

@@ -98,3 +98,100 @@ def test_sinks():
     v = np.arange(6, dtype=float).reshape(2, 3, 1)
     assert c.to_pfm(v).startswith(b"Pf\n3 2\n-1.0\n")
     assert c.to_exr(v)[:4] == struct.pack("<I", 20000630)
+
+
+def test_float_sinks_take_one_or_three_channels():
+    for make in (c.to_pfm, c.to_exr):
+        for channels in (2, 4):
+            with pytest.raises(ValueError):
+                make(np.zeros((2, 2, channels)))
+
+
+def _files_of_every_codec():
+    from rasterspark.plans.payloads import flat_jpeg
+    from rasterspark.sources.sinks import encode_samples
+
+    v = np.random.default_rng(3).integers(0, 256, (6, 8, 1))
+    for compression, name in ((1, "none"), (5, "lzw"), (8, "deflate"), (7, "ljpeg")):
+        yield c.image_tags(8, 6, 8, 1, compression), encode_samples(v, 8, name)
+        yield c.image_tags(8, 6, 12, 1, compression, tag317=(3, [2])) if name != "ljpeg" else c.image_tags(8, 6, 8, 1, 7, tag50752=(3, [1, 3, 5])), encode_samples(v, 12 if name != "ljpeg" else 8, name)
+    yield c.image_tags(8, 8, 8, 1, 34892), flat_jpeg([9])
+    yield c.image_tags(8, 8, 8, 3, 7, tag322=(4, [8]), tag323=(4, [8])), flat_jpeg([9], gray=False)
+    yield c.image_tags(8, 6, 8, 1, 1, tag50940=(11, [0.5, 1.0]), tag51041=(12, [1.0, 2.0]), tag50728=(5, [0.5]), tag33421=(3, [2, 2]), tag33422=(1, [0, 1, 1, 2])), v.astype("u1").tobytes()
+
+
+def test_damage_to_any_codec_is_a_row(spark):
+    """Neither parsing nor decoding raises anything but DecodeError, and every image and tag fits its relation."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    from rasterspark.sources import reader
+
+    images, tags = (to_arrow_schema(_parse_datatype_string(s)) for s in (reader.IMAGES, reader.TAGS))
+    r = random.Random(7)
+    for settings, payload in _files_of_every_codec():
+        data = c.write([{"tags": settings, "data": [payload]}], r.random() < 0.5)
+        for _ in range(400):
+            b = bytearray(data if r.random() < 0.7 else data[: r.randint(8, len(data))])
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(8, len(b)) if len(b) > 8 else 0
+                b[at] = r.choice((0, 255, r.randrange(256)))
+            b = bytes(b)
+            p = c.parse(b)
+            reader._table([i | {"custom_fields": list(i["custom_fields"].items())} for i in p["images"]], images)
+            reader._table(p["tags"], tags)
+            for image in p["images"]:
+                for s in c.segments(image)[:2]:
+                    if s["rows"] * s["cols"] < 1 << 16:
+                        try:
+                            c.decode_segment(b, image, s)
+                        except codecs.DecodeError:
+                            pass
+
+
+def test_a_large_stream_is_not_made_whole():
+    import zlib
+
+    assert len(codecs.inflate(zlib.compress(bytes(1 << 24)), 100)) == 100
+    assert len(codecs.lzw_decode(codecs.lzw_encode(bytes(1 << 14)), 100)) < 400
+
+
+def test_odd_counts_and_ranges_are_warnings():
+    tags = c.image_tags(1, 1, 8, tag50940=(11, [0.5]), tag51041=(12, [1.0]), tag50941=(4, [9]), tag33421=(3, [2, 2]), tag33422=(1, [0, 1]))
+    p = c.parse(c.write([{"tags": tags, "data": b"\0"}]))
+    image = p["images"][0]
+    assert p["ok"] and all(n in p["warn"] for n in ("profile_tone_curve", "noise_profile", "profile_embed_policy", "cfa_pattern"))
+    assert "noise_profile" not in image and image["profile_embed_policy"] == -1 and image["cfa_pattern"] == [-1] * 4
+
+
+def test_levels_that_are_no_numbers():
+    p = c.parse(c.write([{"tags": c.image_tags(1, 1, 8, tag50717=(12, [float("nan")])), "data": b"\0"}]))
+    assert not p["ok"] and p["images"] == []
+
+
+def test_ljpeg_with_large_residuals_and_no_prediction():
+    """Category 16 (a residual of 32768 without further bits) and predictor 0, put together by hand."""
+    part = lambda m, b: bytes([0xFF, m]) + struct.pack(">H", len(b) + 2) + b
+    table = part(0xC4, bytes([0, 0, 3, *[0] * 14, 0, 1, 16]))  # codes 00, 01, 10 for categories 0, 1, 16
+    frame = part(0xC3, struct.pack(">BHHB", 16, 1, 3, 1) + bytes([1, 0x11, 0]))
+    for predictor, want in ((1, [0, 1, 32769]), (0, [0, 1, 32769])):
+        scan = part(0xDA, bytes([1, 1, 0, predictor, 0, 0]))
+        stream = int("10" + "011" + "10" + "1" * 1, 2).to_bytes(1, "big")
+        got = codecs.ljpeg_decode(b"\xff\xd8" + table + frame + scan + stream + b"\xff\xd9")[0, :, 0].tolist()
+        assert got == want
+
+
+def test_lzw_changes_its_width():
+    """A stream of growing codes, written by the format's rule alone: each new string is the last one and a byte."""
+    data = bytes(i % 251 for i in range(600))
+    codes, size = [256], 258
+    for b in data:
+        codes.append(b)
+    bits, entries = "", 257  # entries: the last code that the table holds
+    for k, code in enumerate([*codes, 257]):
+        width = 9 if entries < 510 else 10 if entries < 1022 else 11
+        bits += f"{code:0{width}b}"
+        if k >= 1:
+            entries += 1 if k >= 2 else 0
+    bits += "0" * (-len(bits) % 8)
+    assert size == 258 and codecs.lzw_decode(int(bits, 2).to_bytes(len(bits) // 8, "big")) == data

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from rasterspark.plans import layouts, queries
+from rasterspark.plans import layouts, payloads, queries
 
-ORACLE_SQL, QUERIES = queries.ORACLE_SQL | layouts.ORACLE_SQL, queries.QUERIES | layouts.QUERIES
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | layouts.ORACLE_SQL | payloads.ORACLE_SQL, queries.QUERIES | layouts.QUERIES | payloads.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
