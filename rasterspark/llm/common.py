@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one the session names in ``spark.checkpoint.dir``; only where that
-    is unset (tests in one process) a temporary one is made and set.
+    is unset and all runs in one process (tests) a temporary one is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not at:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(at)
@@ -139,6 +142,19 @@ def map_batches(df: DataFrame, columns: list[str], function, schema: str, keep=N
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``keep(texts)`` marks true; columns as they are, no exchange."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches):
+        let_go()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(as_text(batch.column(at))), pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 

@@ -3,23 +3,27 @@
 Words are lower-cased and stripped of outer punctuation; numbers, names and units
 become typed placeholders (their values are kept as slots). Windows of five template
 words of documents and benchmark items are hash-joined. A second hash of the literal
-words, of every window, finds verbatim copies where placeholders say too little. Hits on one diagonal (same
-offset between document and item) count only if their slots are consistent: each
-slot value of the item goes with one value in the document, so a re-parameterised
-question matches and a chance pattern with clashing values does not. A document is
-contaminated by an item if it holds 80 % of the item's windows, or 80 % of those that
-count as templates (new parameters leave only these), or a passage of the item of 20 words (16 windows on one diagonal).
+words, of every window, finds verbatim copies where placeholders say too little. Of the
+hits on one diagonal (same offset between document and item) those by literal words
+count always; those by template count unless they hold a clashing slot, that is a value
+of the item that goes with several values in the document. So a re-parameterised
+question matches, and an edited value costs only the windows around it. A document is
+contaminated by an item if it holds 80 % of the item's window positions, or 80 % of those
+that count as templates (new parameters leave only these), or 16 of its windows on one
+diagonal (20 words in a row).
 
 The item windows are handed to every task only if a count shows that they are at
-most ``BROADCAST_WINDOWS`` (16 MB); beyond that the same hits come from a Spark join.
+most ``BROADCAST_WINDOWS`` (16 MB); each document is then judged where it lies. Beyond
+that the same hits come from a Spark join, by row (id and text), and are judged the same.
 
 Cases: null text counts as empty and is clean; a text of under five words is one
 window, and an item of under five words also matches literally, at its own width,
 anywhere in a document; windows of which over three words or all are placeholders match
 literally only; an item without a word (empty, or outer punctuation only) matches
-nothing; repeated items count once an id; repeated rows
-give repeated results; empty tables give clean or empty results; further columns are
-ignored.
+nothing; of several texts of one item id the least counts, an item without an id doesn't;
+each row of documents is judged by its own text, also with a null id or one that other
+texts have too; texts of any length are judged whole; repeated rows give repeated
+results; empty tables give clean or empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, map_batches, mix64, table
+from .common import as_text, bounded_slices, filter_rows, map_batches, mix64, table
 
 WINDOW, SHARE, RUN = 5, 0.8, 16
 MOST_SLOTS = 3
@@ -46,7 +50,8 @@ _PLAIN, _NUM, _TITLE, _UNIT, _VOID = range(5)
 _HOLD = np.array([xxhash.xxh64_intdigest(f"<{x}>".encode()) for x in ("NUM", "NAME", "UNIT")], np.uint64)
 _TYPED, _LITERAL, _DENSE = range(3)  # by template; by words; by words, and the item's window has no template that counts
 _LITERAL_SEED, _LITERAL_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_HIT = "doc_id long, pos int, item_id long, ipos int, way int, pairs array<struct<i:long,d:long>>"
+_FOUND = "array<struct<item_id:long,share:double,run:int>>"
+_FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("run", pa.int32())]))
 
 
 def _describe(word: str) -> tuple[int, int, bool]:
@@ -159,9 +164,39 @@ def both_windows(template, value, slot, owner, short=None):
     return (*(np.concatenate(x) for x in zip(typed, literal)), way)
 
 
-def _pairs(item_value, item_slot, i, value, d, width):
-    marks = np.flatnonzero(item_slot[i : i + width])
-    return [{"i": int(item_value[i + k].view(np.int64)), "d": int(value[d + k].view(np.int64))} for k in marks]
+def _sizes(owner, start, way, ids) -> dict[int, tuple[int, int]]:
+    """item_id -> (window positions, those that count as templates)."""
+    out = {}
+    for o in np.unique(owner[start]).tolist() if len(start) else ():
+        own = owner[start] == o
+        out[int(ids[o])] = (len(np.unique(start[own])), len(np.unique(start[own & (way == _TYPED)])))
+    return out
+
+
+def judge(hits, sizes: dict[int, tuple[int, int]]) -> list[tuple[int, float, int]]:
+    """(item_id, share, run) of the items that one document holds; a hit is (pos, item_id, ipos, way, [(item's value, document's value)])."""
+    diagonals: dict[tuple, list] = {}
+    for pos, item, ipos, way, pairs in hits:
+        diagonals.setdefault((item, pos - ipos), []).append((ipos, way, pairs))
+    found: dict[int, list] = {}
+    for (item, _), rows in diagonals.items():
+        values: dict[int, set] = {}
+        for _, _, pairs in rows:
+            for i, d in pairs:
+                values.setdefault(i, set()).add(d)
+        kept = [(ipos, way) for ipos, way, pairs in rows if way != _TYPED or all(len(values[i]) == 1 for i, _ in pairs)]
+        at, dense, run = found.setdefault(item, [set(), set(), 0])
+        own = {ipos for ipos, _ in kept}
+        at |= own
+        dense |= {ipos for ipos, way in kept if way == _DENSE}
+        found[item][2] = max(run, len(own))
+    out = []
+    for item, (at, dense, run) in found.items():
+        n, typed = sizes[item]
+        share = max(len(at) / n, len(at - dense) / typed if typed else 0.0)
+        if share >= SHARE or run >= RUN:
+            out.append((item, share, run))
+    return sorted(out)
 
 
 def item_windows(items: list[tuple[int, str]]) -> dict[str, np.ndarray]:
@@ -172,7 +207,7 @@ def item_windows(items: list[tuple[int, str]]) -> dict[str, np.ndarray]:
     order = np.argsort(h, kind="stable")
     ids = np.array([i for i, _ in items], np.int64)
     short = np.unique(width[width < WINDOW]).tolist()
-    return {"hash": h[order], "item": ids[owner[start]][order] if len(ids) else np.zeros(0, np.int64), "ipos": (start - first)[order], "at": start[order], "way": way[order], "value": value, "slot": slot, "short": short}
+    return {"hash": h[order], "item": ids[owner[start]][order] if len(ids) else np.zeros(0, np.int64), "ipos": (start - first)[order], "at": start[order], "way": way[order], "value": value, "slot": slot, "short": short, "sizes": _sizes(owner, start, way, ids)}
 
 
 class _Matcher:
@@ -190,39 +225,32 @@ class _Matcher:
         return maybe[some], low[some], high[some]
 
 
-def _local_hits(docs: DataFrame, index) -> DataFrame:
-    state: dict = {}
+def local_judge(index):
+    """A function of texts: what ``judge`` finds for each."""
+    matcher, words = _Matcher(index), Canonical()
 
-    def run(batch):
-        if not state:
-            state.update(m=_Matcher(index), c=Canonical())
-        ids, texts = batch.column(0).to_pylist(), as_text(batch.column(1))
-        out, at = [[], [], [], [], [], []], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                size += len(texts[to])
-                to += 1
-            template, value, slot, owner = state["c"].words(texts[at:to])
+    def found(texts: list[str]) -> list[list[tuple[int, float, int]]]:
+        out: list = [[] for _ in texts]
+        for at, to in bounded_slices(np.array([len(t) for t in texts]), SLICE):
+            template, value, slot, owner = words.words(texts[at:to])
             h, start, width, _ = both_windows(template, value, slot, owner, index["short"])
-            which, low, high = state["m"].hits(h)
+            which, low, high = matcher.hits(h)
+            hits: dict[int, list] = {}
             for w, a, b in zip(which.tolist(), low.tolist(), high.tolist()):
-                d = int(start[w])
+                d, n = int(start[w]), int(width[w])
                 pos = d - int(np.searchsorted(owner, owner[d]))
                 for r in range(a, b):
-                    out[0].append(ids[at + int(owner[d])])
-                    out[1].append(pos)
-                    out[2].append(int(index["item"][r]))
-                    out[3].append(int(index["ipos"][r]))
-                    out[4].append(int(index["way"][r]))
-                    out[5].append(_pairs(index["value"], index["slot"], int(index["at"][r]), value, d, int(width[w])))
-            at = to
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.struct([("i", pa.int64()), ("d", pa.int64())])))], names=["doc_id", "pos", "item_id", "ipos", "way", "pairs"])
+                    i, way = int(index["at"][r]), int(index["way"][r])
+                    pairs = [(int(index["value"][i + k]), int(value[d + k])) for k in np.flatnonzero(index["slot"][i : i + n]).tolist()]
+                    hits.setdefault(at + int(owner[d]), []).append((pos, int(index["item"][r]), int(index["ipos"][r]), way, pairs))
+            for row, own in hits.items():
+                out[row] = judge(own, index["sizes"])
+        return out
 
-    return map_batches(docs, ["doc_id", "text"], run, _HIT)
+    return found
 
 
-def window_rows(rows: DataFrame, short=None) -> DataFrame:
+def window_rows(rows: DataFrame, id_type: str, short=None) -> DataFrame:
     """(id, pos, h, way, values): every window of every row of ``rows(id, text)``; values are null but in slots."""
 
     def run(batch):
@@ -237,53 +265,93 @@ def window_rows(rows: DataFrame, short=None) -> DataFrame:
                 out[2].append(x)
                 out[3].append(y)
                 out[4].append([int(value[s + k].view(np.int64)) if slot[s + k] else None for k in range(w)])
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names=["id", "pos", "h", "way", "values"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names=["id", "pos", "h", "way", "values"])
 
-    return map_batches(rows, ["id", "text"], run, "id long, pos int, h long, way int, values array<long>")
+    return map_batches(rows, ["id", "text"], run, f"id {id_type}, pos int, h long, way int, values array<long>")
 
 
-def _joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    i = window_rows(items.select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "h", "way", F.col("values").alias("iv"))
+def _row_key(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text)`` with a key of the row's id and text; equal rows have equal keys."""
+    return rows.withColumn("key", F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+
+
+def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, found) of the rows that hold an item, by a join of all windows; ``rows(key, text)``."""
+    i = window_rows(items.select(F.col("item_id").alias("id"), "text"), "long").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "h", "way", F.col("values").alias("iv"))
+    sizes = i.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_pos"), F.countDistinct(F.when(F.col("way") == _TYPED, F.col("ipos"))).alias("n_typed"))
     short = sorted(r["n"] for r in i.select(F.size("iv").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # WINDOW - 1 widths at most
-    d = window_rows(docs.select(F.col("doc_id").alias("id"), "text"), short).select(F.col("id").alias("doc_id"), "pos", "h", F.col("values").alias("dv"))
+    d = window_rows(rows.select(F.col("key").alias("id"), "text"), "string", short).select(F.col("id").alias("key"), "pos", "h", F.col("values").alias("dv"))
     # literal hits have the item's own values, also where the document's word is no slot
     pairs = F.filter(F.zip_with("iv", "dv", lambda a, b: F.struct(a.alias("i"), F.when(F.col("way") == _TYPED, b).otherwise(a).alias("d"))), lambda p: p["i"].isNotNull())
-    return d.join(i, "h").select("doc_id", "pos", "item_id", "ipos", "way", pairs.alias("pairs"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, share, run) of every contaminated document and item."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").dropDuplicates(["item_id"])
+    hits = d.join(i, "h").select("key", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", "way", pairs.alias("pairs"))
+    # the values that clash on a diagonal, then the hits without them
+    values = hits.filter(F.size("pairs") > 0).select("key", "item_id", "diagonal", F.explode("pairs").alias("p")).groupBy("key", "item_id", "diagonal", "p.i").agg(F.min("p.d").alias("a"), F.max("p.d").alias("b"))
+    clash = values.filter("a != b").groupBy("key", "item_id", "diagonal").agg(F.collect_set("i").alias("clash"))
+    kept = hits.join(clash, ["key", "item_id", "diagonal"], "left").filter((F.col("way") != _TYPED) | F.col("clash").isNull() | ~F.exists("pairs", lambda p: F.array_contains("clash", p["i"])))
+    places = kept.groupBy("key", "item_id", "diagonal", "ipos").agg(F.max(F.col("way") == _DENSE).alias("dense"))
+    runs = places.groupBy("key", "item_id", "diagonal").agg(F.count("*").cast("int").alias("run"))
+    best = runs.groupBy("key", "item_id").agg(F.max("run").alias("run"))
+    total = places.groupBy("key", "item_id", "ipos").agg(F.max("dense").alias("dense")).groupBy("key", "item_id").agg(F.count("*").alias("found"), F.count_if(~F.col("dense")).alias("typed"))
+    share = F.greatest(F.col("found") / F.col("n_pos"), F.col("typed") / F.nullif("n_typed", F.lit(0)))
+    scored = total.join(best, ["key", "item_id"]).join(sizes, "item_id").select("key", "item_id", share.alias("share"), "run")
+    held = scored.filter((F.col("share") >= SHARE) | (F.col("run") >= RUN))
+    return held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "share", "run"))).alias("found"))
+
+
+def _prepared(items: DataFrame, broadcast_windows: int):
+    """(items, the index of their windows or None if it may be too large for every task)."""
+    items = items.filter("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
     bound = items.agg(F.sum(F.length("text"))).first()[0] or 0  # an item has no more windows than characters and one
     if bound <= 8 * broadcast_windows:
         index = item_windows([(r["item_id"], r["text"]) for r in items.orderBy("item_id").collect()])
         if len(index["hash"]) <= broadcast_windows:
-            hits = _local_hits(docs, index)
-        else:
-            hits = _joined_hits(docs, items)
-    else:
-        hits = _joined_hits(docs, items)
-    sizes = window_rows(items.select(F.col("item_id").alias("id"), "text")).groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("n_pos"), F.countDistinct(F.when(F.col("way") == _TYPED, F.col("pos"))).alias("n_typed"))
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("way") == _DENSE, F.col("ipos"))).alias("dense"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
-    found = runs.filter(consistent).groupBy("doc_id", "item_id").agg(distinct("at").alias("found"), distinct("dense").alias("dense"), F.max(F.size("at")).alias("run"))
-    typed = (F.col("found") - F.col("dense")) / F.nullif("n_typed", F.lit(0))
-    share = F.greatest(F.col("found") / F.col("n_pos"), typed)
-    scored = found.join(sizes, "item_id").select("doc_id", "item_id", share.alias("share"), "run")
-    return scored.filter((F.col("share") >= SHARE) | (F.col("run") >= RUN))
+            return items, index
+    return items, None
+
+
+def with_found(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, found array<struct<item_id, share, run>>) of every row of ``docs``: the items that it holds."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items, index = _prepared(items, broadcast_windows)
+    if index is None:
+        rows = _row_key(docs)
+        found = _joined(rows.dropDuplicates(["key"]), items)
+        return rows.select("doc_id", "key").join(found, "key", "left").select("doc_id", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
+    state: dict = {}
+
+    def run(batch):
+        if not state:
+            state["find"] = local_judge(index)
+        found = state["find"](as_text(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(("item_id", "share", "run"), f)) for f in own] for own in found], _FOUND_TYPE)], names=["doc_id", "found"])
+
+    return map_batches(docs, ["doc_id", "text"], run, f"doc_id long, found {_FOUND}")
+
+
+def contamination(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, share, run) of every contaminated document and item."""
+    return with_found(docs, items, broadcast_windows).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    by_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))
-    rows = docs.select(F.col("doc_id").cast("long")).join(by_doc, F.col("doc_id") == F.col("_doc"), "left")
-    return rows.select("doc_id", F.col("_doc").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
+    found = with_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    share = F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.transform("found", lambda f: f["item_id"]).alias("item_ids"), F.round(share, 6).alias("share"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``docs`` without contaminated rows; columns as they were. Rows are judged one by one, so ids may be null or shared."""
+    items, index = _prepared(items, broadcast_windows)
+    if index is None:
+        keyed = _row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        away = _joined(keyed.dropDuplicates(["key"]), items).select(F.col("key").alias("_away"))
+        name = F.md5(F.concat_ws("\0", F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")), F.coalesce(docs["text"], F.lit(""))))
+        return docs.join(away, name == away["_away"], "left_anti")
+    state: dict = {}
 
+    def clean(texts):
+        if not state:
+            state["find"] = local_judge(index)
+        return [not own for own in state["find"](texts)]
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents; columns as they were."""
-    away = contamination(docs, items).select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
+    return filter_rows(docs, clean)
