@@ -1,16 +1,21 @@
 """Secret scans: fixed rules, and automata learnt from the credentials they label.
 
-One pass over whole texts finds base spans and candidates (long runs of credential
-characters). Credentials that the rules label, up to ``SAMPLE`` per kind (those with
-the least hashes, of all documents), are learnt as one probabilistic automaton a
-kind; runs of letters alone, up to ``SAMPLE``, as a background automaton. Every
-candidate is then scored. One that no base span touches, that mixes digits and
-letters and is as likely as the labelled ones under a kind's automaton, and likelier
-than under the background by ``MARGIN`` a symbol, is a span of kind ``like_<kind>``.
-
-Cases: null text counts as empty and has no spans; equal rows give equal rows; an
-empty table gives an empty result; without enough labelled credentials (``LEAST``)
-of a kind no automaton is learnt and nothing is added; further columns are ignored.
+Two passes over whole texts. The first finds what the fixed rules label. Of each kind at
+most ``SAMPLE`` distinct credentials (the least hashes of all documents) are learnt, by
+the shapes of their characters, as one probabilistic automaton; runs of credential
+characters with letters but no digits, and those with digits but no letters, at most
+``SAMPLE`` each, as background automata. The second pass scores every candidate, that is
+every run of credential characters that no base span touches, however long or mixed. One
+is a span of kind ``like_<kind>`` if it is no shorter than the shortest credential learnt
+of the kind, as likely as 95 % of these under the kind's automaton, and likelier than under
+its background (of letters, if it has any) by ``MARGIN`` a symbol; of several such kinds
+the likeliest counts. Nothing but hashes and shapes of credentials is written on the way.
+
+Cases: null text counts as empty and has no spans; texts of any length are read whole; a
+null doc_id stays null, and rows that share an id are rows of their own; equal rows give
+equal rows; an empty table gives an empty result; without enough labelled credentials
+(``LEAST``) of a kind no automaton is learnt and nothing is added; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,23 +23,27 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import automata
-from .common import as_text, cut, map_batches, table
+from .common import as_text, cut, let_go, map_batches, table
 
 KINDS = ("assign", "access", "hex")
 SAMPLE, LEAST, MARGIN = 400, 8, 0.25
-CANDIDATE = 16
+BACKGROUNDS = ("letters", "digits")
+#: Shapes whose verdict a worker remembers.
+REMEMBERED = 1 << 18
 #: Base rules. Fixed patterns; keywords in either case, ASCII letters only.
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _KEYWORD = re.compile(r"(?ai:passw(?:or)?d|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is a greedy match that is long enough
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
-_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
-_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+#: A credential that the rules label has six characters or more.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -48,80 +57,143 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return [(KINDS[k], a, b, v) for a, k, b, v in sorted(found)]
 
 
-def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Long runs of credential characters that no base span touches."""
-    out, i = [], 0
-    spans = sorted((a, b) for _, a, b, _ in base)
-    reach = 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while i < len(spans) and spans[i][0] < b:
-            reach = max(reach, spans[i][1])
+def untouched(spans: list[tuple[int, int]], base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+    """Those of ``spans``, in order, that no base span touches."""
+    out, i, reach = [], 0, 0
+    taken = sorted((a, b) for _, a, b, _ in base)
+    for a, b in spans:
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
             i += 1
         if reach <= a:
-            out.append(("candidate", a, b, m[0]))
+            out.append((a, b))
     return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, base, candidates): both arrays of spans."""
+def _background(value: str) -> str | None:
+    """The background that a run is an example of: all but mixed ones and mere symbols."""
+    digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    return None if digit == letter else "digits" if digit else "letters"
 
-    def run(batch):
-        base = [base_spans(t) for t in as_text(batch.column(1))]
-        more = [candidates(t, b) for t, b in zip(as_text(batch.column(1)), base)]
-        spans = lambda rows: pa.array([[dict(zip(("kind", "start", "end", "value"), s)) for s in r] for r in rows], _SPAN_TYPE)
-        return pa.RecordBatch.from_arrays([batch.column(0), spans(base), spans(more)], names=["doc_id", "base", "candidates"])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, f"doc_id long, base {_SPANS}, candidates {_SPANS}")
-
-
-def learn_formats(scanned: DataFrame, sample: int = SAMPLE) -> dict:
-    """kind -> (states, least mean log likelihood); "background" -> states. At most ``sample`` rows a kind reach the driver."""
-    labelled = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value")
-    plain = scanned.select(F.explode("candidates").alias("s")).filter(~F.col("s.value").rlike("[0-9]")).select(F.lit("background").alias("kind"), "s.value")
-    pool, models = labelled.union(plain), {}
-    for kind in (*KINDS, "background"):
-        rows = pool.filter(F.col("kind") == kind).select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        shapes = [automata.shape(r["value"]) for r in rows]
+
+class _Least:
+    """At most ``size`` distinct (hash, shape), those of the least hashes."""
+
+    def __init__(self, size: int):
+        self.size, self.kept, self.most = size, {}, 1 << 63
+
+    def add(self, value: str) -> None:
+        h = xxhash.xxh64_intdigest(value) >> 1
+        if h < self.most:
+            self.kept[h] = automata.shape(value)
+            if len(self.kept) > 2 * self.size:
+                self.cut()
+
+    def cut(self) -> None:
+        rows = sorted(self.kept.items())[: self.size]
+        self.kept, self.most = dict(rows), rows[-1][0] + 1 if len(rows) == self.size else 1 << 63
+
+
+def examples(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(kind, h, shape): of each kind and background the least hashes of each task."""
+
+    def run(batches):
+        let_go()
+        least, seen = {k: _Least(sample) for k in (*KINDS, *BACKGROUNDS)}, set()
+        for batch in batches:
+            for text in as_text(batch.column(0)):
+                base = base_spans(text)
+                for kind, _, _, value in base:
+                    least[kind].add(value)
+                new = set(_CANDIDATE.findall(text)) - seen if not base else {text[a:b] for a, b in untouched([m.span() for m in _CANDIDATE.finditer(text)], base)} - seen
+                for value in new:
+                    kind = _background(value)
+                    if kind:
+                        least[kind].add(value)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen |= new
+        rows = []
+        for kind, own in least.items():
+            own.cut() if own.kept else None
+            rows += [(kind, h, x) for h, x in own.kept.items()]
+        if rows:
+            kinds, hashes, shapes = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(hashes, pa.int64()), pa.array(shapes)], names=["kind", "h", "shape"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, h long, shape string")
+
+
+def learn_formats(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
+    """kind -> (states, least mean log likelihood, least length); backgrounds too. At most ``sample`` rows a kind reach the driver."""
+    pool, models = cut(examples(docs, text_col, sample).distinct()), {}
+    for kind in (*KINDS, *BACKGROUNDS):
+        shapes = [r["shape"] for r in pool.filter(F.col("kind") == kind).orderBy("h", "shape").limit(sample).collect()]
         if len(shapes) >= LEAST:
             states = automata.learn(shapes)
             scores = sorted(automata.likelihood(states, s) for s in shapes)
-            models[kind] = (states, scores[len(scores) // 20])
+            models[kind] = (states, scores[len(scores) // 20], min(map(len, shapes)))
     return models
 
 
-def _mixed(value: str) -> bool:
-    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-
-
-def judge(value: str, models: dict) -> tuple[str, float] | None:
-    """The kind that a candidate fits best, with its likelihood, or None."""
-    kinds = [k for k in KINDS if k in models]
-    if not kinds or not _mixed(value):
+def judge(shape: str, models: dict) -> tuple[str, float] | None:
+    """The kind that a candidate of a shape is like, with its likelihood, or None."""
+    letters = any(c in shape for c in "hHlU")
+    if not letters and "d" not in shape:
         return None
-    s = automata.shape(value)
-    score, kind = max((automata.likelihood(models[k][0], s), k) for k in kinds)
-    floor = automata.likelihood(models["background"][0], s) if "background" in models else automata.FLOOR
-    return (kind, score) if score >= models[kind][1] and score >= floor + MARGIN else None
+    background = models.get("letters" if letters else "digits")
+    floor = (automata.likelihood(background[0], shape) if background else automata.FLOOR) + MARGIN
+    fits = []
+    for kind in KINDS:
+        if kind in models and len(shape) >= models[kind][2]:
+            score = automata.likelihood(models[kind][0], shape)
+            if score >= max(models[kind][1], floor):
+                fits.append((score, kind))
+    return max(fits)[::-1] if fits else None
+
+
+class Scanner:
+    """Base and added spans of texts; remembers verdicts on shapes."""
+
+    def __init__(self, models: dict):
+        self.models, self.verdicts, self.clean = models, {}, set()
+        self.any = any(k in models for k in KINDS)
+
+    def verdict(self, value: str):
+        s = automata.shape(value)
+        if s not in self.verdicts:
+            if len(self.verdicts) > REMEMBERED:
+                self.verdicts.clear()
+            self.verdicts[s] = judge(s, self.models)
+        return self.verdicts[s]
+
+    def __call__(self, text: str):
+        """(base spans, added spans), each (kind, start, end)."""
+        base, added = base_spans(text), []
+        if self.any:
+            values = set(_CANDIDATE.findall(text)) - self.clean
+            flagged = {v for v in values if self.verdict(v)}
+            if len(self.clean) > REMEMBERED:
+                self.clean = set()
+            self.clean |= values - flagged
+            if flagged:
+                found = [m.span() for m in _CANDIDATE.finditer(text) if m[0] in flagged]
+                added = [(f"like_{self.verdict(text[a:b])[0]}", a, b) for a, b in untouched(found, base)]
+        return [s[:3] for s in base], added
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, base, added): base spans, and spans that the automata add (kind ``like_<kind>``)."""
-    scanned = cut(scan(docs, text_col, id_col))
-    models = learn_formats(scanned)
+    models = learn_formats(docs, text_col)
+    state: dict = {}
 
     def run(batch):
-        added = []
-        for row in batch.column(2).to_pylist():
-            own = []
-            for s in row or []:
-                verdict = judge(s["value"], models)
-                if verdict:
-                    own.append(s | {"kind": f"like_{verdict[0]}"})
-            added.append(own)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, _SPAN_TYPE)], names=["doc_id", "base", "added"])
+        scan = state.setdefault("scan", Scanner(models))
+        rows = [scan(t) for t in as_text(batch.column(1))]
+        spans = lambda k: pa.array([[dict(zip(("kind", "start", "end"), s)) for s in r[k]] for r in rows], _SPAN_TYPE)
+        return pa.RecordBatch.from_arrays([batch.column(0), spans(0), spans(1)], names=["doc_id", "base", "added"])
 
-    return map_batches(scanned, ["doc_id", "base", "candidates"], run, f"doc_id long, base {_SPANS}, added {_SPANS}")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, f"doc_id long, base {_SPANS}, added {_SPANS}")
 
 
 def _joined(spans):
@@ -151,19 +223,17 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     A document whose text has no span keeps it as it is, null included.
     """
-    models, schema, names = learn_formats(cut(scan(docs))), docs.schema, docs.columns
+    models, schema, names = learn_formats(docs), docs.schema, docs.columns
     at = names.index("text")
 
     def run(batches):
+        scan = Scanner(models)
         for batch in batches:
-            texts, out = batch.column(at).to_pylist(), []
-            for t in texts:
-                base = base_spans(t) if t else []
-                spans = [(a, b) for _, a, b, _ in base] + [(a, b) for _, a, b, v in (candidates(t, base) if t else []) if judge(v, models)]
+            out = []
+            for t in batch.column(at).to_pylist():
+                spans = [(a, b) for own in scan(t) for _, a, b in own] if t else []
                 out.append(redact(t, spans) if spans else t)
             columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)
-
-
