@@ -3,7 +3,8 @@
 Kernel: the weight of a subsequence of ``ORDER`` characters is LAMBDA to the length
 that it spans (Lodhi and others, 2002), over pieces of at most ``PIECE`` characters
 of a word with its ends marked; normalised. Inserted or dropped characters thus only
-lower the value. Letters set apart ("i d i o t") are also read as one word.
+lower the value. Letters set apart ("i d i o t") are also read as one word,
+and so are word parts that one or two symbols split ("stu*pid"), with the symbols as characters.
 Landmarks: the ``LANDMARKS`` pieces whose share of documents differs most between the
 labels, without near copies of each other. A document is the set of its pieces:
 against each landmark, its largest kernel value over ``TAU`` and the sum of such
@@ -17,8 +18,10 @@ Scores read only the text.
 
 Cases: null text counts as empty and gets a score too; labels that are null are left
 out, several labels of one document count as toxic if any is; with no labels of one
-kind every score is 0 (or 1 if all are toxic); equal rows give equal rows; empty
-tables give empty results; further columns are ignored.
+kind every score is 0 (or 1 if all are toxic); texts of any length are read whole; rows
+with a null doc_id are scored, never learnt from, and not held out (null); rows that share
+an id are scored each by its own text, the least of them is learnt from; equal rows give
+equal rows; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, map_batches, table
+from .common import as_text, filter_rows, map_batches, table
 
 ORDER, LAMBDA, PIECE, STRIDE = 3, 0.7, 10, 5
 LANDMARKS, TAU, ALIKE = 64, 0.5, 0.9
@@ -41,6 +44,7 @@ POOL = 2000
 CHUNK, REMEMBERED, SLICE = 2048, 1 << 18, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W_](?![^\W_])){3,}")
+_MASKED = re.compile(r"[^\W\d_]+(?:[^\w\s.,;:!?]{1,2}[^\W\d_]+)+")
 _NOT_WORD = re.compile(r"[\W_]+")
 #: Symbols of the kernel: word ends, letters, digits as one, and a few buckets for the rest.
 _ALPHABET = 40
@@ -61,7 +65,7 @@ _WEIGHT_OF = np.array([0.0, *(LAMBDA**k for k in range(1, 16))])
 def words(text: str) -> list[str]:
     low = text.lower()
     found = _WORD.findall(low)
-    return found + [_NOT_WORD.sub("", m) for m in _SPELT.findall(low)]
+    return found + [_NOT_WORD.sub("", m) for m in _SPELT.findall(low)] + _MASKED.findall(low)
 
 
 def pieces(word: str) -> list[str]:
@@ -283,8 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Learns from at most ``size`` labelled documents of each label."""
     sample = training_sample(labels, size)
     totals = {bool(r["toxic"]): r["n"] for r in labels.filter("toxic is not null").filter(~held_out()).groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    # at most 2 * size ids: a proven bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # at most 2 * size ids, one row each: a proven bound
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     counts = map_batches(rows, ["doc_id", "text", "toxic"], _training_pieces, "piece string, toxic int").groupBy("piece").agg(F.sum(F.col("toxic")).alias("up"), F.sum(1 - F.col("toxic")).alias("down"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     up, down = n.get(1, 0), n.get(0, 0)
@@ -335,6 +339,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without documents predicted toxic; columns as they were."""
-    away = score_documents(docs, fit(docs, labels)).filter("score >= 0.5").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
+    """``docs`` without rows predicted toxic; columns as they were. Rows are judged one by one, so ids may be null or shared."""
+    model = fit(docs, labels)
+    state: dict = {}
+
+    def clean(texts):
+        if model.constant is not None:
+            return [model.constant < 0.5] * len(texts)
+        return (model.score(state.setdefault("f", Features(model.landmarks))(texts)) < 0.5).tolist()
+
+    return filter_rows(docs, clean)
