@@ -17,8 +17,10 @@
 6. Components by star contraction (``components``).
 
 Cases: null text counts as empty; a text without words has fingerprint zero and
-links like any other; equal rows give equal results, one each; an empty table gives
-an empty result; further columns are ignored.
+links like any other; texts of any length are read whole; a null doc_id links, but names
+a component only if it has no other (null then); rows that share an id are rows of their
+own; equal rows give equal results, one each; an empty table gives an empty result;
+further columns are ignored. ``near_dedup`` keeps one row of each component.
 """
 
 from __future__ import annotations
@@ -71,13 +73,18 @@ def _majority(digests: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, digest): the fingerprint as a signed long, and the text's digest (empty for null)."""
 
     def run(batch):
         fps = np.array([fingerprint(b) for b in as_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
+    return map_batches(rows, ["doc_id", "text", "digest"], run, "doc_id long, fp long, digest string")
+
+
+def _digest(text):
+    return F.coalesce(F.md5(text), F.lit(""))
 
 
 def _forest(fps: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int]]:
@@ -161,12 +168,17 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return dealt.mapInArrow(_link_partition, "u long, v long").distinct()
 
 
+def _classes(own: DataFrame) -> DataFrame:
+    """(fp, root): the component of each fingerprint of ``own(fp, ...)``."""
+    distinct = own.select("fp").distinct()
+    found = components(links(distinct))
+    return distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable by links."""
     own = cut(fingerprints(docs, id_col, text_col))
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp")))
-    rooted = least.join(found.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_classes(own), "fp")
     of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(of, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -178,6 +190,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the least of their component; columns as they were."""
-    away = simhash_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_away"))
-    return docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
+    """One row of each component of ``docs``: the least doc_id, null last, of one id the least text digest; columns as they were."""
+    own = cut(fingerprints(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    # copies within a fingerprint become one row before components meet
+    best = own.groupBy("fp").agg(F.min(order).alias("best")).join(_classes(own), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    stay = cut(best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest")))
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (_digest(docs["text"]) == stay["_digest"]), "left_semi")
+    # rows that repeat a kept one: rare, and looked for among ids and digests only
+    same = own["doc_id"].eqNullSafe(stay["_id"]) & (own["digest"] == stay["_digest"])
+    if own.join(stay, same, "left_semi").groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_digest", _digest(F.col("text"))).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
