@@ -8,8 +8,10 @@ with the participants is on the conversation, whose partition can be split.
 
 Cases: a null or empty role speaks as ``unknown``; a null text is empty; system
 turns take no perspective of their own and are never learnt; repeated rows give
-repeated parts; a null conv_id is a conversation of its own; an empty table gives an
-empty result; further columns are ignored.
+repeated parts; turns of equal number stand in order of speaker and text, a null turn
+first; a null conv_id is a conversation of its own; marks of the format inside texts are
+split by a space, line ends in a role are spaces; texts of any length are kept whole; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,17 @@ from .common import table
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _plain(text: Column) -> Column:
+    """A mark of the format inside a text or name loses its meaning by a space."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         "conv_id",
         "turn",
-        F.when(F.trim(F.coalesce("role", F.lit(""))) == "", F.lit("unknown")).otherwise(F.trim("role")).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.trim(F.coalesce("role", F.lit(""))) == "", F.lit("unknown")).otherwise(F.translate(_plain(F.trim("role")), "\n", " ")).alias("speaker"),
+        _plain(F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
@@ -40,8 +47,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     """(conv_id, perspective, turn, speaker, as_role, part, learn_start, learn_end): one row per turn and perspective.
 
     ``part`` is the rendered turn; characters learn_start to learn_end (exclusive) of
-    it are learnt, none if both are 0. The parts of a perspective in turn order are its
-    rendering.
+    it are learnt, none if both are 0. The parts of a perspective by turn, of one turn by
+    speaker and then part, are its rendering (``render``).
     """
     turns = _turns(conversations)
     people = turns.filter("speaker != 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
@@ -61,6 +68,18 @@ def rotate(conversations: DataFrame) -> DataFrame:
     )
 
 
+def render(conversations: DataFrame) -> DataFrame:
+    """(conv_id, perspective, text, learnt array<struct<start, end>>): whole renderings, each in one cell.
+
+    For conversations that fit into a cell; ``rotate`` gives the parts of any other.
+    """
+    parts = rotate(conversations)
+    listed = parts.groupBy("conv_id", "perspective").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "part", "learn_start", "learn_end"))).alias("p"))
+    at = lambda p, i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda n, q: n + F.length(q["part"]))
+    spans = F.filter(F.transform("p", lambda p, i: F.struct((at(p, i) + p["learn_start"]).alias("start"), (at(p, i) + p["learn_end"]).alias("end"))), lambda s: s["end"] > s["start"])
+    return listed.select("conv_id", "perspective", F.array_join(F.transform("p", lambda p: p["part"]), "").alias("text"), spans.alias("learnt"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rotate(table(spark, sf_dir, "conversations"))
     return parts.select(
@@ -78,7 +97,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE replace(replace(trim(role), '<|im_', '<| im_'), chr(10), ' ') END AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
   FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
