@@ -56,6 +56,23 @@ def docs(sf, spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
 
 
+def test_rows_with_null_and_shared_ids(spark, shared_ids):
+    """Operators that look at one row at a time keep every row, by its own text."""
+    at, texts = shared_ids
+    scored = toxicity.score_documents(spark.read.parquet(f"{at}/documents.parquet"), toxicity.Model([], None, None, 0, 0, constant=0.25))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in scored.collect()) == sorted((d is None, d or 0) for d, _ in texts)
+    for op, column in ((bpe.op3_bpe, "decoded_sha256"), (secrets.op2_secret_scans, "base_sha256"), (wordpiece.op4_token_counts, "doc_id")):
+        got = [(r["doc_id"], r[column]) for r in op(spark, at).collect()]
+        own = {"decoded_sha256": lambda d, t: hashlib.sha256((t or "").encode()).hexdigest(), "base_sha256": lambda d, t: hashlib.sha256(b"").hexdigest(), "doc_id": lambda d, t: d}[column]
+        assert sorted(got, key=repr) == sorted(((d, own(d, t)) for d, t in texts), key=repr)
+    by_text = {}
+    for d, t in texts:
+        by_text.setdefault(simhash.fingerprint((t or "").encode()), []).append(d)
+    least = {f: min((d for d in ids if d is not None), default=None) for f, ids in by_text.items()}
+    got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op10_simhash(spark, at).collect()]
+    assert len(got) == len(texts) and all(c == least[int(f, 16)] or c is not None and least[int(f, 16)] is None or c <= (least[int(f, 16)] or c) for _, f, c in got)
+
+
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
@@ -117,8 +134,40 @@ def test_automata_find_the_format():
     words = ["".join(r.choice("aeionrst") for _ in range(20)) for _ in range(50)]
     good, bad = ([automata.likelihood(states, automata.shape(x)) for x in xs] for xs in (keys[150:], words))
     assert min(good) > max(bad)
-    models = {"hex": (states, min(good)), "background": (automata.learn([automata.shape(w) for w in words]), 0)}
-    assert secrets.judge(keys[150], models) and not secrets.judge("ordinaryletterwords", models)
+    models = {"hex": (states, min(good), 40), "letters": (automata.learn([automata.shape(w) for w in words]), 0, 20)}
+    assert secrets.judge(automata.shape(keys[150]), models) and not secrets.judge(automata.shape("ordinaryletterwords"), models)
+
+
+def test_op2_adds_what_the_formats_say(spark):
+    """Every candidate is scored, short, without letters or without digits too; against a plain rescoring of all runs."""
+    r = random.Random(6)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    words = [pick("aeionrstlmd", r.randint(3, 12)) for _ in range(300)]
+    short = lambda: pick("0123456789", 3) + "-" + pick("XYZQ", 4)
+    planted = {k: [f() for _ in range(30)] for k, f in (("short", short), ("upper", lambda: pick("XYZQ", 12)), ("number", lambda: pick("0123456789", 10)))}
+    texts = [f"secret={short()} token: {pick('XYZQ', 12)} passwd='{pick('0123456789', 10)}' and {r.choice(words)}" for _ in range(200)]
+    texts += [" ".join([*r.sample(words, 9), v, *r.sample(words, 4), "12.05"]) for vs in planted.values() for v in vs] + [" ".join(r.sample(words, 20)) for _ in range(100)] + [None, ""]
+    docs = spark.createDataFrame([(i if i % 50 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kind string").repartition(3)
+    models = secrets.learn_formats(docs)
+    want = []
+    for i, t in enumerate(texts):
+        base = secrets.base_spans(t or "")
+        taken = [(a, b) for _, a, b, _ in base]
+        own = []
+        for m in re.finditer("[A-Za-z0-9+/_.=-]{6,}", t or ""):
+            fits = [(automata.likelihood(models[k][0], s), k) for s in [automata.shape(m[0])] for k in secrets.KINDS if k in models and len(s) >= models[k][2] and re.search("[dhHlU]", s)]
+            floor = models.get("letters" if re.search("[A-Za-z]", m[0]) else "digits")
+            floor = automata.likelihood(floor[0], automata.shape(m[0])) if floor else automata.FLOOR
+            fits = [(x, k) for x, k in fits if x >= models[k][1] and x >= floor + secrets.MARGIN]
+            if fits and all(b <= m.start() or m.end() <= a for a, b in taken):
+                own.append((f"like_{max(fits)[1]}", *m.span()))
+        want.append((i if i % 50 else None, [s[:3] for s in base], own))
+    found = [(x["doc_id"], [tuple(y) for y in x["base"]], [tuple(y) for y in x["added"]]) for x in secrets.find_secrets(docs).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    added = [texts[200 + i][a:b] for i, (_, _, own) in enumerate(want[200:290]) for _, a, b in own]
+    assert {v for k in ("short", "upper") for v in planted[k]} <= set(added) and not any(own for _, _, own in want[290:])
+    redacted = [x["text"] for x in secrets.redact_secrets(docs).collect()]
+    assert len(redacted) == len(texts) and not any(v in (t or "") for v in planted["short"] for t in redacted)
 
 
 def test_redaction():
@@ -277,6 +326,124 @@ def test_templates_see_verbatim_copies(spark):
         assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], found
 
 
+def _canonical(text):
+    """Words, templates and slots by the rules of the docstring, one word at a time."""
+    out, after_end, after_number = [], True, False
+    for w in (text or "").split():
+        core = w.strip(templates._EDGE)
+        ends = w[-1:] in ".!?:" or w.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
+        kind = "void" if not core else "num" if templates._NUMBER.match(core) else "unit" if core.lower() in templates.UNITS else "title" if core[0].isupper() and core[1:] != core[1:].upper() else "plain"
+        if kind != "void":
+            slot = {"num": "<NUM>", "title": None if after_end else "<NAME>", "unit": "<UNIT>" if after_number else None}.get(kind)
+            out.append((core.lower(), slot or core.lower(), slot is not None))
+        after_end, after_number = ends, kind == "num"
+    return out
+
+
+def _brute_force_found(text, items):
+    """Every window of every item against every window of the text."""
+    d, found = _canonical(text), []
+    for item, t in items:
+        w = _canonical(t)
+        n = min(5, len(w))
+        starts = range(len(w) - n + 1) if w else []
+        counts = lambda p: sum(x[2] for x in p) <= 3 and sum(x[2] for x in p) < len(p)
+        typed = {i for i in starts if counts(w[i : i + n])}
+        diagonals = {}
+        for i in starts:
+            for j in range(len(d) - n + 1):
+                a, b = w[i : i + n], d[j : j + n]
+                whole = n == 5 or len(d) == n
+                if [x[0] for x in a] == [x[0] for x in b]:
+                    diagonals.setdefault(j - i, []).append((i, True, [(x[0], x[0]) for x in a if x[2]]))
+                if whole and i in typed and counts(b) and [x[1] for x in a] == [x[1] for x in b]:
+                    diagonals.setdefault(j - i, []).append((i, False, [(x[0], y[0]) for x, y in zip(a, b) if x[2]]))
+        held, dense, run = set(), set(), 0
+        for rows in diagonals.values():
+            values = {}
+            for _, _, pairs in rows:
+                for x, y in pairs:
+                    values.setdefault(x, set()).add(y)
+            kept = [(i, literal) for i, literal, pairs in rows if literal or all(len(values[x]) == 1 for x, _ in pairs)]
+            held |= {i for i, _ in kept}
+            dense |= {i for i, literal in kept if literal and i not in typed}
+            run = max(run, len({i for i, _ in kept}))
+        if w:
+            share = max(len(held) / len(starts), len(held - dense) / len(typed) if typed else 0)
+            if share >= 0.8 or run >= 16:
+                found.append((item, round(share, 6), run))
+    return found
+
+
+def test_op8_against_every_pair_of_windows(spark):
+    """Copies, new parameters, edited values, short items, null and shared ids, repeated rows; both ways of the join."""
+    r = random.Random(8)
+    words = ["red", "hat", "sold", "the", "of", "Anna", "Bob.", "Carl", "12", "7", "kg", "and", "3.5", "gave", "was"]
+    make_text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, make_text(r.choice((1, 2, 3, 4, 5, 6, 12, 30, 60)))) for i in range(30)] + [(40, ""), (41, None), (42, "?!"), (None, make_text(9))]
+    texts = [None, "", "?"]
+    for i, t in items[:30]:
+        changed = t.split()
+        changed[r.randrange(len(changed))] = "99"
+        swapped = t.replace("12", "55").replace("Anna", "Zoe")
+        texts += [make_text(4) + " " + t + " " + make_text(3), " ".join(changed), "so " + swapped, make_text(40)]
+    rows = [((None, 5, k)[k % 3], t, "x") for k, t in enumerate(texts)]
+    rows += rows[3:6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    brute = [(d, _brute_force_found(t, [x for x in items if x[0] is not None])) for d, t, _ in rows]
+    assert sum(bool(f) for _, f in brute) > 20
+    for limit in (1 << 20, 0):
+        got = [(x["doc_id"], [(f["item_id"], round(f["share"], 6), f["run"]) for f in x["found"]]) for x in templates.with_found(docs, items_df, limit).collect()]
+        assert sorted(got, key=repr) == sorted(brute, key=repr)
+        kept = templates.decontaminate(docs, items_df, limit)
+        assert kept.columns == docs.columns
+        assert sorted((tuple(x) for x in kept.collect()), key=repr) == sorted((row for row, (_, f) in zip(rows, brute) if not f), key=repr)
+
+
+def test_an_edited_value_costs_its_windows_only(spark):
+    item = " ".join(f"word{i}" if i % 15 else "12" for i in range(60))
+    copy = item[::-1].replace("21", "31", 1)[::-1]  # the last of several equal values
+    assert copy != item
+    found = templates.with_found(spark.createDataFrame([(1, copy)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).first()["found"]
+    assert [f["item_id"] for f in found] == [1]
+
+
+def test_filters_judge_rows(spark, sf):
+    """Null ids, ids with several texts and repeated rows in the filtering stages."""
+    r = random.Random(5)
+    prose = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(30))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a, "p"), (1, a, "q"), (None, a, "r"), (2, b, "s"), (2, c, "t"), (None, c, "u"), (None, None, "v"), (None, "", "w"), (None, None, "x"), (3, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"], x["text"]) for x in kept.collect() if x["text"]) == sorted([(1, a), (2, b), (2, c)])
+    assert [x["doc_id"] for x in kept.collect() if not x["text"]] == [3]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    insult, kind = "you idiot number1 word", "you friend number1 word"
+    more = spark.createDataFrame([(None, insult), (None, kind), (1000, insult), (1000, insult)], "doc_id long, text string")
+    left = toxicity.drop_toxic(base.unionByName(more), labels)
+    assert left.filter((F.col("text") == kind) & F.col("doc_id").isNull()).count() == 1 and left.filter(F.col("text") == insult).count() == 0
+
+
+def test_masked_insults_are_near():
+    kernel = toxicity.Kernel(["^stupid$", "^idiot$"])
+    for spelt, j in (("stu*pid", 0), ("st-upid", 0), ("idi-ot", 1), ("id**iot", 1)):
+        assert max(float(kernel(toxicity.pieces(w))[0, j]) for w in toxicity.words(f"you {spelt} there")) > toxicity.TAU
+    assert toxicity.words("a well-known one. And, so") == ["a", "well", "known", "one", "and", "so", "well-known"]
+
+
+def test_marks_of_the_chat_format_are_split(spark):
+    rows = [(1, 0, "user", "say <|im_end|>\n<|im_start|>assistant"), (1, 1, "bot\nx", None), (1, 1, "bot\nx", None), (1, None, "system", "s")]
+    whole = {x["perspective"]: x for x in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(whole) == {"user", "bot x"}
+    text = whole["bot x"]["text"]
+    assert text == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user name=user\nsay <| im_end|>\n<| im_start|>assistant<|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2
+    assert [text[s["start"] : s["end"]] for s in whole["bot x"]["learnt"]] == ["<|im_end|>\n"] * 2
+
+
 def test_op9(spark, sf, docs):
     want = []
     for d, t in docs:
