@@ -38,7 +38,7 @@ from .pretokens import PLACED, WORD, byte_level_pieces, byte_symbols, is_plain,
 LEXICON_WORDS = 1 << 18
 LEXICON_BYTES = 32
 #: Text encoded at once in a worker, words merged at once, and text whose words are counted at once.
-SLICE, TOGETHER, COUNTED = 8 << 20, 1 << 15, 32 << 20
+SLICE, TOGETHER, COUNTED = 3 << 20, 1 << 13, 12 << 20
 #: Words of up to so many bytes are merged side by side; longer ones alone.
 _WIDTHS = (6, 9, 12, 16, 24, 48)
 _FAR, _NEVER = 1 << 60, np.int32((1 << 31) - 1)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 
@@ -110,6 +113,8 @@ def as_text(column: pa.Array) -> list[str]:
 
 
 _held: dict = {}
+#: glibc keeps freed memory unless told; elsewhere there is no such call.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def held(key, make):
@@ -121,8 +126,13 @@ def held(key, make):
 
 
 def let_go(keep=None) -> None:
+    """Drops what earlier tasks of this worker kept, and hands free memory back to the machine."""
     for key in [k for k in _held if k != keep]:
         del _held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def map_batches(df: DataFrame, columns: list[str], function, schema: str, keep=None) -> DataFrame:
