@@ -1,4 +1,4 @@
-"""``python -m rasterspark PATH``: the headers of the containers below a path, as JSON lines."""
+"""``python -m rasterspark PATH`` or ``rasterspark PATH``: the headers of the containers below a path, as JSON lines."""
 
 from __future__ import annotations
 
@@ -17,7 +17,11 @@ def main(path: str) -> None:
         print(row["line"])
 
 
-if __name__ == "__main__":
+def run() -> None:
     if len(sys.argv) != 2:
-        sys.exit("usage: python -m rasterspark PATH")
+        sys.exit("usage: rasterspark PATH")
     main(sys.argv[1])
+
+
+if __name__ == "__main__":
+    run()
