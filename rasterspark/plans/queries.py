@@ -259,8 +259,7 @@ def region(spark, sf_dir):
 
 @query(f"WITH {_FRAMES_SQL}, sized AS (SELECT frame, max(x) AS w, max(y) AS h FROM frames GROUP BY frame) SELECT f.frame, f.y, f.x, f.v FROM frames f JOIN sized s ON f.frame = s.frame AND f.x = least(10, s.w) AND f.y = least(100000, s.h)")
 def point_lookup(spark, sf_dir):
-    files = _files(spark, sf_dir, bits=12)
-    got = selection.point(reader.pixels(reader.rasters(files)), reader.images(files), 10, 100000)
+    got = reader.pixel_at(_files(spark, sf_dir, bits=12, rows_per_strip=8), 10, 100000)
     return got.select(F.col("path").cast("long").alias("frame"), "y", "x", "v")
 
 

@@ -113,15 +113,19 @@ _PAYLOAD = f"path string, image_idx int, {SEGMENT}, width long, height long, hea
 _DECODED = f"path string, image_idx int, {SEGMENT}, width long, height long, spp int, ok boolean, err string, samples array<double>"
 
 
-def payloads(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, raw_bytes: bool = False) -> DataFrame:
+def payloads(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, raw_bytes: bool = False, point: tuple[int, int] | None = None) -> DataFrame:
     """The stored bytes of every segment, not decoded, with what decoding needs of its image (``head``, JSON)."""
 
     def rows(p, b):
         for k, image in enumerate(container.parse(b)["images"]):
             if image_idx is not None and k != image_idx:
                 continue
+            wanted = region
+            if point:  # moved to the image's edge if beyond
+                x, y = (max(0, min(at, (image.get(n) or 1) - 1)) for at, n in zip(point, ("width", "height")))
+                wanted = (y, x, y + 1, x + 1)
             for s in container.segments(image):
-                if region and not (s["y0"] < region[2] and region[0] < s["y0"] + s["rows"] and s["x0"] < region[3] and region[1] < s["x0"] + s["cols"]):
+                if wanted and not (s["y0"] < wanted[2] and wanted[0] < s["y0"] + s["rows"] and s["x0"] < wanted[3] and wanted[1] < s["x0"] + s["cols"]):
                     continue
                 head = json.dumps({n: image[n] for n in container.NEEDED} | {"tiled": s["tiled"]} | ({"big_endian": False} if raw_bytes else {}))
                 yield s | {"path": p, "image_idx": k, "width": image.get("width"), "height": image.get("height"), "head": head, "payload": container.payload_of(b, s)}
@@ -149,17 +153,26 @@ def decoded(payloads_: DataFrame) -> DataFrame:
     return _mapped(payloads_, rows, _DECODED, names, at_once=1)
 
 
-def rasters(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, spread: bool = False, raw_bytes: bool = False) -> DataFrame:
-    """Decoded segments. Only segments that meet ``region`` (top, left, bottom, right) are decoded.
+def rasters(files: DataFrame, region: tuple[int, int, int, int] | None = None, image_idx: int | None = None, spread: bool = False, raw_bytes: bool = False, point: tuple[int, int] | None = None) -> DataFrame:
+    """Decoded segments. Only segments that meet ``region`` (top, left, bottom, right), or hold ``point`` (x, y), are decoded.
 
     ``spread`` deals the stored bytes of segments out over all tasks before they are
     decoded, for files that are few and large; otherwise a file's segments stay together.
     With ``raw_bytes`` samples of big-endian files are not swapped.
     """
-    rows = payloads(files, region, image_idx, raw_bytes)
+    rows = payloads(files, region, image_idx, raw_bytes, point)
     return decoded(rows.repartition("path", "image_idx", "seg_idx") if spread else rows)
 
 
+def pixel_at(files: DataFrame, x: int, y: int) -> DataFrame:
+    """(path, image_idx, y, x, c, v): the samples of each image at (x, y), moved to its edge if beyond; one segment of a plane is decoded."""
+    place = lambda at, size: F.greatest(F.lit(0), F.least(F.lit(at), F.col(size) - 1))
+    found = rasters(files, point=(x, y)).withColumn("_x", place(x, "width")).withColumn("_y", place(y, "height")).filter("ok")
+    first = ((F.col("_y") - F.col("y0")) * F.col("cols") + F.col("_x") - F.col("x0")) * F.col("spp")
+    samples = found.select("path", "image_idx", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), "c0", F.posexplode(F.slice("samples", (first + 1).cast("int"), F.col("spp"))).alias("i", "v"))
+    return samples.select("path", "image_idx", "y", "x", (F.col("c0") + F.col("i")).alias("c"), "v")
+
+
 def pixels(rasters_: DataFrame) -> DataFrame:
     """(path, image_idx, y, x, c, v); tile parts beyond the image are clipped."""
     flat = rasters_.filter("ok").select("path", "image_idx", "y0", "x0", "cols", "spp", "c0", "width", "height", F.posexplode("samples").alias("i", "v"))
