@@ -44,7 +44,9 @@ POOL = 2000
 CHUNK, REMEMBERED, SLICE = 2048, 1 << 18, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W_](?![^\W_])){3,}")
-_MASKED = re.compile(r"[^\W\d_]+(?:[^\w\s.,;:!?]{1,2}[^\W\d_]+)+")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[^\w\s.,;:!?]{1,2}[^\W\d_]++)+")
+#: Found wherever _MASKED is; few texts hold one.
+_MASK = re.compile(r"[^\w\s.,;:!?](?<=[^\W\d_].)[^\w\s.,;:!?]?[^\W\d_]")
 _NOT_WORD = re.compile(r"[\W_]+")
 #: Symbols of the kernel: word ends, letters, digits as one, and a few buckets for the rest.
 _ALPHABET = 40
@@ -65,7 +67,8 @@ _WEIGHT_OF = np.array([0.0, *(LAMBDA**k for k in range(1, 16))])
 def words(text: str) -> list[str]:
     low = text.lower()
     found = _WORD.findall(low)
-    return found + [_NOT_WORD.sub("", m) for m in _SPELT.findall(low)] + _MASKED.findall(low)
+    found += [_NOT_WORD.sub("", m) for m in _SPELT.findall(low)]
+    return found + _MASKED.findall(low) if _MASK.search(low) else found
 
 
 def pieces(word: str) -> list[str]:
