@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_slices, mix64
+from .common import as_bytes, bounded_slices, let_go, mix64
 from .media import _codec, wire_dictionary
 
 #: Text bytes that a task handles at once, and text bytes for each bucket.
 SLICE = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Rows whose text is unpacked at once.
+ROWS = 2048
 LEAST_BUCKETS = 64
 
 _BLOCK = "bucket int, keys binary, ids binary, pos binary"
@@ -41,6 +43,13 @@ def slices(batch: pa.RecordBatch, at: int = 1, limit: int = SLICE):
         yield ids[rows], [texts[i] for i in rows.tolist()], rows
 
 
+def parts(batches):
+    """The batches, of bounded numbers of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix64(keys ^ np.uint64(0x5BD1E995)) % np.uint64(n)).astype(np.int64)
 
@@ -66,6 +75,7 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLIC
     """
 
     def send(batches):
+        let_go("words")
         for batch in batches:
             for ids, texts, _ in slices(batch, limit=limit):
                 owner, pos, keys = anchors(texts)
@@ -88,6 +98,7 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLIC
                 yield _blocks(out)
 
     def judge(block: pa.Table) -> pa.Table:
+        let_go("words")
         keys, ids, pos = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("keys", np.uint32), ("ids", np.int64), ("pos", np.int32)))
         order = np.argsort(keys)
         k = keys[order]

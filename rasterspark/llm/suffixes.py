@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, own_ids, table, with_ids
+from .common import let_go, mix64, own_ids, table, with_ids
 from .media import _codec
-from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices
+from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, parts, repeated_anchors, slices
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -262,7 +262,15 @@ def judge_contexts(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, docs
             total = 0
         total += size
     cut.append(len(order))
-    results = []
+    # keys that lie in more than one shard; only their windows wait for the other shards
+    broken = np.array(sorted({int(keys[order[c]]) for c in cut[1:-1] if keys[order[c]] == keys[order[c - 1]]}), keys.dtype)
+    merged, value = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64)
+    waiting = []
+
+    def settle(rows, first, starts, owner, least):
+        gone = least < docs[rows][owner]
+        np.bitwise_or.at(bits, rows[owner[gone]], np.uint64(1) << (starts[gone] - first[owner[gone]]).astype(np.uint64))
+
     for a, b in zip(cut, cut[1:]):
         rows = order[a:b]
         own = gather(data, begins[rows], lengths[rows])
@@ -271,29 +279,20 @@ def judge_contexts(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, docs
         starts = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
         owner = np.repeat(np.arange(len(rows)), windows)
         least, at, head = shard_verdict(own, lengths[rows], starts, docs[rows][owner])
-        results.append([rows, own, first, starts, owner, least, at, head])
-    # keys that lie in more than one shard
-    broken = {int(keys[order[c]]) for c in cut[1:-1] if keys[order[c]] == keys[order[c - 1]]}
-    if broken:
-        wanted = np.array(sorted(broken), keys.dtype)
-        merged, value = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64)
-        parts = []
-        for rows, own, _, starts, owner, least, at, head in results:
-            of_key = np.isin(keys[rows], wanted)
-            tops = at[head][of_key[owner[at[head]]]]
-            strings = strings_of(own, starts[tops])
-            by = np.argsort(strings)
-            distinct, index = np.unique(strings[by], return_index=True)
-            merged, value = merge_sorted(merged, value, distinct, least[tops][by][index])
-            parts.append(of_key)
-        for result, of_key in zip(results, parts):
-            rows, own, _, starts, owner, least, _, _ = result
-            ask = np.flatnonzero(of_key[owner])
-            if len(ask):
-                least[ask] = value[np.searchsorted(merged, strings_of(own, starts[ask]))]
-    for rows, _, first, starts, owner, least, _, _ in results:
-        gone = least < docs[rows][owner]
-        np.bitwise_or.at(bits, rows[owner[gone]], np.uint64(1) << (starts[gone] - first[owner[gone]]).astype(np.uint64))
+        of_key = np.isin(keys[rows], broken)
+        if not of_key.any():
+            settle(rows, first, starts, owner, least)
+            continue
+        tops = at[head][of_key[owner[at[head]]]]
+        strings = strings_of(own, starts[tops])
+        by = np.argsort(strings)
+        distinct, index = np.unique(strings[by], return_index=True)
+        merged, value = merge_sorted(merged, value, distinct, least[tops][by][index])
+        ask = of_key[owner]
+        settle(rows, first, starts[~ask], owner[~ask], least[~ask])
+        waiting.append((rows, own, first, starts[ask].astype(np.int32), owner[ask].astype(np.int32)))
+    for rows, own, first, starts, owner in waiting:
+        settle(rows, first, starts, owner, value[np.searchsorted(merged, strings_of(own, starts))])
     return bits
 
 
@@ -326,6 +325,7 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
     """(doc_id, runs array<struct<start, bits>>): removed windows, 64 from ``start`` at most. ``docs(doc_id, packed, at)``."""
 
     def send(batches):
+        let_go()
         press = _codec(wire.dictionary)[0]
         for batch in batches:
             ready = pa.RecordBatch.from_arrays([batch.column(0), wire.unpack(batch.column(1))], names=["doc_id", "text"])
@@ -372,6 +372,7 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([press.compress(r[1].tobytes()) for r in out], pa.binary()), *(pa.array([r[k + 1].tobytes() for r in out], pa.binary()) for k in range(1, len(_FIELDS)))], names=["bucket", *(f for f, _ in _FIELDS)])
 
     def judge(block: pa.Table) -> pa.Table:
+        let_go()
         plain = _codec(wire.dictionary)[1]
         data = np.frombuffer(b"".join(plain.decompress(b) for b in block.column("data").to_pylist()), np.uint8)
         lengths, keys, ids, times, starts, known = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in _FIELDS[1:])
@@ -406,7 +407,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, wire, back = repeated_bytes(table(spark, sf_dir, "documents"))
 
     def run(batches):
-        for batch in batches:
+        let_go()
+        for batch in parts(batches):
             n, gone, spans, digests = [], [], [], []
             for text, starts, bits in zip(wire.unpack(batch.column(1)).to_pylist(), lists_of(batch.column(2)), lists_of(batch.column(3))):
                 away = covered(len(text), window_starts(starts, bits), LENGTH)
