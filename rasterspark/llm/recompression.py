@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, held, mix64, own_ids, table, with_ids
-from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, repeated_anchors, slices
+from .common import bounded_slices, held, let_go, mix64, own_ids, table, with_ids
+from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, parts, repeated_anchors, slices
 
 WINDOW, ROUNDS = 20, 4
 REMEMBERED = 1 << 18
@@ -205,6 +205,7 @@ def later_windows(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
     """(doc_id, at array<int>): starts of the windows whose words start earlier too. ``docs(doc_id, packed, at)``."""
 
     def send(batches):
+        let_go("words")
         for batch in batches:
             ready = pa.RecordBatch.from_arrays([batch.column(0), wire.unpack(batch.column(1))], names=["doc_id", "text"])
             marks = lists_of(batch.column(2))
@@ -226,6 +227,7 @@ def later_windows(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k].tobytes() for r in out], pa.binary()) for k in (1, 2, 3, 4))], names=["bucket", "h1", "h2", "ids", "pos"])
 
     def judge(block: pa.Table) -> pa.Table:
+        let_go("words")
         h1, h2, ids, pos = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("h1", np.uint64), ("h2", np.uint64), ("ids", np.int64), ("pos", np.int32)))
         known = pos < 0
         open_ = np.flatnonzero(~known)
@@ -259,7 +261,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, wire, back = repeated_words(table(spark, sf_dir, "documents"))
 
     def run(batches):
-        for batch in batches:
+        let_go()
+        for batch in parts(batches):
             n, gone, digests = [], [], []
             for text, at in zip(wire.unpack(batch.column(1)).to_pylist(), lists_of(batch.column(2))):
                 words = text.split()
