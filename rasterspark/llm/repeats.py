@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_slices, let_go, mix64
+from .common import as_bytes, bounded_slices, fresh_path, let_go, mix64
 from .media import _codec, wire_dictionary
 
 #: Text bytes that a task handles at once, and text bytes for each bucket.
@@ -67,11 +67,18 @@ def _blocks(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "ids", "pos"])
 
 
-def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE) -> DataFrame:
-    """(doc_id, at array<int>): positions of the anchors whose key another place has too.
+def key_names(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """A key as its bucket and the half of it that is sent."""
+    return bucket_of(keys, n_buckets) << 32 | (keys >> np.uint64(32)).astype(np.int64)
+
+
+def repeated_places(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE, common: int = 0) -> DataFrame:
+    """(doc_id, pos): places of the anchors whose key another place has too.
 
     ``anchors(texts)`` -> (text number, position, key) arrays for a list of UTF-8 texts.
     Rows that share an id have one text and are one document; the same place twice is one place.
+    With ``common``, a row (name of the key, minus the number of slices) is added for each key
+    that at least so many slices sent.
     """
 
     def send(batches):
@@ -106,10 +113,38 @@ def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLIC
         known = pos[order] < 0
         place = np.where(known, -1 - pos[order], pos[order])
         repeats = known | np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table({"doc_id": pa.array(ids[order][repeats], pa.int64()), "pos": pa.array(place[repeats].astype(np.int32), pa.int32())})
+        doc, place = ids[order][repeats], place[repeats].astype(np.int32)
+        if common:
+            edge = np.flatnonzero(np.concatenate(([True], ~same, [True]))) if len(k) else np.zeros(1, np.int64)
+            sent = np.diff(edge)
+            often = np.flatnonzero(sent >= common)
+            names = block.column("bucket")[0].as_py() << 32 | k[edge[often]].astype(np.int64)
+            doc, place = np.concatenate((doc, names)), np.concatenate((place, -sent[often].astype(np.int32)))
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "pos": pa.array(place, pa.int32())})
+
+    return docs.mapInArrow(send, _BLOCK).groupBy("bucket").applyInArrow(judge, "doc_id long, pos int")
+
+
+def repeated_anchors(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE) -> DataFrame:
+    """(doc_id, at array<int>): ``repeated_places`` of each document."""
+    return _lists(repeated_places(docs, anchors, n_buckets, limit))
+
+
+def _lists(places: DataFrame) -> DataFrame:
+    return places.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
 
-    blocks = docs.mapInArrow(send, _BLOCK)
-    return blocks.groupBy("bucket").applyInArrow(judge, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+
+def anchors_and_common(docs: DataFrame, anchors, n_buckets: int, limit: int, common: int, most: int) -> tuple[DataFrame, np.ndarray]:
+    """(``repeated_anchors``, sorted names of the keys that at least ``common`` slices have).
+
+    The names go to every task, so the ``most`` most common are listed at most; a key beyond
+    them is only not known as common.
+    """
+    path = fresh_path(docs.sparkSession, "anchors")
+    repeated_places(docs, anchors, n_buckets, limit, common).write.parquet(path)
+    places = docs.sparkSession.read.schema("doc_id long, pos int").parquet(path)
+    names = places.filter("pos < 0").orderBy("pos", "doc_id").limit(most).select("doc_id").toArrow()
+    return _lists(places.filter("pos >= 0")), np.sort(names.column(0).to_numpy())
 
 
 class Wire:

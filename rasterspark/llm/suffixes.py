@@ -7,8 +7,10 @@ windows meet there. A bucket's bytes are cut into shards. Each shard gets a suff
 array by Larsson-Sadakane refinement (ranks of prefixes of doubling length, only
 groups that still tie are sorted again), and common prefixes of neighbours by Kasai's
 rule on permuted order. Runs with 50 bytes in common are equal windows. A key that
-fills more than one shard has its shards' sorted strings merged by binary search. A
-window is removed if one of its equals starts in a document with a smaller doc_id
+fills more than one shard has its shards' sorted strings merged by binary search. An
+anchor that ``COMMON`` slices hold may have contexts without bound, so its windows are
+sent one by one to the bucket of their own hash: no key gathers them, and equal windows
+still meet. A window is removed if one of its equals starts in a document with a smaller doc_id
 (of one doc_id: a smaller text digest).
 
 Cases: null text counts as empty; a text under 50 bytes keeps all; a null doc_id sorts
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import let_go, mix64, own_ids, table, with_ids
 from .media import _codec
-from .repeats import Wire, bucket_of, buckets_for, by_bucket, covered, lists_of, parts, repeated_anchors, slices
+from .repeats import Wire, anchors_and_common, bucket_of, buckets_for, by_bucket, covered, key_names, lists_of, parts, slices
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a window
 SHARD = 1 << 16
 #: Text bytes that a task handles at once.
 SLICE = 2 << 20
+#: Slices that hold a key before its windows are dealt out one by one, and how many such keys all tasks know (8 bytes each).
+COMMON, COMMON_KEYS = 256, 1 << 20
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -104,6 +108,21 @@ def contexts(text: np.ndarray, repeated: np.ndarray):
     return windows[head], np.diff(np.append(head, len(windows))), key[head]
 
 
+def among(names: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which names are in ``common``, which is sorted."""
+    if not len(common):
+        return np.zeros(len(names), bool)
+    return common[np.minimum(np.searchsorted(common, names), len(common) - 1)] == names
+
+
+def dealt_out(text: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, common: np.ndarray):
+    """``contexts`` with each window of the marked ones as a context of its own, known by the hash of its bytes."""
+    each = np.repeat(start[common] - (np.cumsum(windows[common]) - windows[common]), windows[common]) + np.arange(int(windows[common].sum()))
+    own = _content(text, each, np.full(len(each), LENGTH))
+    start, windows, key = (np.concatenate((x[~common], y)) for x, y in ((start, each), (windows, np.ones(len(each), windows.dtype)), (key, own)))
+    return start, windows, key
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after the other."""
     ends = np.cumsum(lengths)
@@ -321,12 +340,13 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray)
     return same
 
 
-def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
-    """(doc_id, runs array<struct<start, bits>>): removed windows, 64 from ``start`` at most. ``docs(doc_id, packed, at)``."""
+def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int, common: np.ndarray) -> DataFrame:
+    """(doc_id, starts, bits): removed windows, 64 from a start at most. ``docs(doc_id, packed, at)``; ``common``: names of keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_KEYS at most
 
     def send(batches):
         let_go()
-        press = _codec(wire.dictionary)[0]
+        press, common = _codec(wire.dictionary)[0], shared.value
         for batch in batches:
             ready = pa.RecordBatch.from_arrays([batch.column(0), wire.unpack(batch.column(1))], names=["doc_id", "text"])
             marks = lists_of(batch.column(2))
@@ -335,7 +355,11 @@ def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int) -> DataFrame:
                 whole = np.frombuffer(b"".join(texts), np.uint8)
                 for i, (t, r) in enumerate(zip(texts, rows.tolist())):
                     if len(t) >= LENGTH and len(marks[r]):
-                        start, windows, key = contexts(whole[base : base + len(t)], marks[r])
+                        text = whole[base : base + len(t)]
+                        start, windows, key = contexts(text, marks[r])
+                        often = among(key_names(key, n_buckets), common)
+                        if often.any():
+                            start, windows, key = dealt_out(text, start, windows, key, often)
                         found.append((start + base, start, windows + LENGTH - 1, key, np.full(len(start), i)))
                     base += len(t)
                 if not found:
@@ -394,17 +418,19 @@ def window_starts(starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return starts[row] + k
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Wire, DataFrame | None]:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> tuple[DataFrame, Wire, DataFrame | None]:
     """((doc_id, packed, starts, bits), wire, back): each document, by the ids of ``with_ids``, with the windows that a smaller document has too."""
     rows, back = with_ids(docs, id_col, text_col)
     wire, n = Wire(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), buckets_for(rows)
     packed = wire.packed(rows)
-    marked = packed.join(repeated_anchors(rows, _anchors, n, SLICE), "doc_id", "left")
-    return packed.join(removed_starts(marked, wire, n), "doc_id", "left"), wire, back
+    places, names = anchors_and_common(rows, _anchors, n, SLICE, common, COMMON_KEYS)
+    marked = packed.join(places, "doc_id", "left")
+    return packed.join(removed_starts(marked, wire, n, names), "doc_id", "left"), wire, back
 
 
-def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, wire, back = repeated_bytes(table(spark, sf_dir, "documents"))
+def without_repeats(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``."""
+    found, wire, back = repeated_bytes(docs, common=common)
 
     def run(batches):
         let_go()
@@ -420,3 +446,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return own_ids(out, back)
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))

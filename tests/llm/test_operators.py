@@ -258,6 +258,37 @@ def test_op6(spark, sf, docs):
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     _compare(suffixes.op6_suffix_array_dedup(spark, sf), want)
+    # a key of any slice counts as common: all windows go one by one, same result
+    _compare(suffixes.without_repeats(spark.read.parquet(f"{sf}/documents.parquet"), common=1), want)
+
+
+def test_common_anchors(spark):
+    """A phrase in most documents, in ever new surroundings: its windows don't gather under its anchor."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase = noise(70)
+    texts = [noise(r.randint(0, 90)) + phrase[r.randint(0, 12) :] + noise(r.randint(0, 90)) for _ in range(120)]
+    texts += texts[:3] + [phrase + phrase, noise(300), None, "\0" * 200, "\0" * 120]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    first, want = {}, []
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        spans = int(np.count_nonzero(gone[1:-1] & ~gone[:-2])) + int(gone[0])
+        want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    for common in (4, suffixes.COMMON):
+        _compare(suffixes.without_repeats(docs, common=common), want)
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    names = suffixes.anchors_and_common(plain, suffixes._anchors, 64, suffixes.SLICE, 4, 1 << 10)[1]
+    assert 0 < len(names) < 40 and len(suffixes.anchors_and_common(plain, suffixes._anchors, 64, suffixes.SLICE, 4, 1)[1]) == 1
 
 
 def test_suffix_arrays_and_merging():
