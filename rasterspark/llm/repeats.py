@@ -24,7 +24,7 @@ BUCKET_BYTES = 8 << 20
 ROWS = 2048
 LEAST_BUCKETS = 64
 
-_BLOCK = "bucket int, keys binary, ids binary, pos binary"
+_BLOCK = "bucket int, keys binary, ids binary, pos binary, kinds binary"
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -64,7 +64,16 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray):
 
 
 def _blocks(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "ids", "pos"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3, 4))], names=["bucket", "keys", "ids", "pos", "kinds"])
+
+
+def _kinds(first: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For sorted places that begin a key where ``first`` is true, how many different surroundings their key has."""
+    group = np.cumsum(first) - 1
+    sizes = np.bincount(group)
+    several = np.flatnonzero(sizes[group] > 1)
+    _, one = np.unique(mix64(around[several] + mix64(group[several].astype(np.uint64))), return_index=True)
+    return np.clip(np.bincount(group[several][one], minlength=len(sizes)), 1, 65535)[group]
 
 
 def key_names(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -77,15 +86,16 @@ def repeated_places(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE
 
     ``anchors(texts)`` -> (text number, position, key) arrays for a list of UTF-8 texts.
     Rows that share an id have one text and are one document; the same place twice is one place.
-    With ``common``, a row (name of the key, minus the number of slices) is added for each key
-    that at least so many slices sent.
+    With ``common``, ``anchors`` also gives a hash of what lies around each place, and a row
+    (name of the key, minus a number) is added for each key whose numbers of different
+    surroundings in a slice add up to at least ``common``.
     """
 
     def send(batches):
         let_go("words")
         for batch in batches:
             for ids, texts, _ in slices(batch, limit=limit):
-                owner, pos, keys = anchors(texts)
+                owner, pos, keys, *around = anchors(texts)
                 if not len(keys):
                     continue
                 order = np.argsort(keys, kind="stable")
@@ -97,11 +107,12 @@ def repeated_places(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE
                 known = np.zeros(len(k), bool)
                 known[lead[other]] = True
                 keep = first | other
+                kinds = np.where(first, _kinds(first, around[0][order]), 0).astype(np.uint16)[keep] if common else np.zeros(int(keep.sum()), "V0")  # without common: no bytes
                 k = np.where(first, k, mix64(place_id.view(np.uint64) + mix64(place.astype(np.uint64))))
                 mark = np.where(known | ~first, -1 - place, place).astype(np.int32)
                 # half a key is enough within a bucket: buckets grow with the text, and a clash only adds a candidate
                 half = (k[keep] >> np.uint64(32)).astype(np.uint32)
-                out = [(b, *parts) for b, parts in by_bucket(bucket_of(k[keep], n_buckets), half, place_id[keep], mark[keep])]
+                out = [(b, *parts) for b, parts in by_bucket(bucket_of(k[keep], n_buckets), half, place_id[keep], mark[keep], kinds)]
                 yield _blocks(out)
 
     def judge(block: pa.Table) -> pa.Table:
@@ -116,10 +127,11 @@ def repeated_places(docs: DataFrame, anchors, n_buckets: int, limit: int = SLICE
         doc, place = ids[order][repeats], place[repeats].astype(np.int32)
         if common:
             edge = np.flatnonzero(np.concatenate(([True], ~same, [True]))) if len(k) else np.zeros(1, np.int64)
-            sent = np.diff(edge)
+            kinds = np.frombuffer(b"".join(block.column("kinds").to_pylist()), np.uint16)[order]
+            sent = np.add.reduceat(kinds, edge[:-1], dtype=np.int64) if len(k) else edge[:0]
             often = np.flatnonzero(sent >= common)
             names = block.column("bucket")[0].as_py() << 32 | k[edge[often]].astype(np.int64)
-            doc, place = np.concatenate((doc, names)), np.concatenate((place, -sent[often].astype(np.int32)))
+            doc, place = np.concatenate((doc, names)), np.concatenate((place, -np.minimum(sent[often], (1 << 31) - 1).astype(np.int32)))
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "pos": pa.array(place, pa.int32())})
 
     return docs.mapInArrow(send, _BLOCK).groupBy("bucket").applyInArrow(judge, "doc_id long, pos int")
@@ -135,7 +147,7 @@ def _lists(places: DataFrame) -> DataFrame:
 
 
 def anchors_and_common(docs: DataFrame, anchors, n_buckets: int, limit: int, common: int, most: int) -> tuple[DataFrame, np.ndarray]:
-    """(``repeated_anchors``, sorted names of the keys that at least ``common`` slices have).
+    """(``repeated_anchors``, sorted names of the keys with ``common`` surroundings or more, added up over slices).
 
     The names go to every task, so the ``most`` most common are listed at most; a key beyond
     them is only not known as common.

@@ -8,9 +8,9 @@ array by Larsson-Sadakane refinement (ranks of prefixes of doubling length, only
 groups that still tie are sorted again), and common prefixes of neighbours by Kasai's
 rule on permuted order. Runs with 50 bytes in common are equal windows. A key that
 fills more than one shard has its shards' sorted strings merged by binary search. An
-anchor that ``COMMON`` slices hold may have contexts without bound, so its windows are
-sent one by one to the bucket of their own hash: no key gathers them, and equal windows
-still meet. A window is removed if one of its equals starts in a document with a smaller doc_id
+anchor with ``COMMON`` different surroundings would gather contexts without bound, so its
+windows are sent one by one to the bucket of their own hash: no key gathers them, and
+equal windows still meet. A window is removed if one of its equals starts in a document with a smaller doc_id
 (of one doc_id: a smaller text digest).
 
 Cases: null text counts as empty; a text under 50 bytes keeps all; a null doc_id sorts
@@ -36,8 +36,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 SHARD = 1 << 16
 #: Text bytes that a task handles at once.
 SLICE = 2 << 20
-#: Slices that hold a key before its windows are dealt out one by one, and how many such keys all tasks know (8 bytes each).
-COMMON, COMMON_KEYS = 256, 1 << 20
+#: Surroundings of a key, added up over slices, from which its windows are dealt out one by one, and how many such keys all tasks know (8 bytes each).
+COMMON, COMMON_KEYS = 1 << 16, 1 << 20
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,7 +77,8 @@ def chosen(grams: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _anchors(texts: list[bytes]):
-    owners, positions, keys = [], [], []
+    """(text number, position, key, hash of the surroundings) of the grams that windows choose."""
+    owners, positions, keys, around = [], [], [], []
     for i, t in enumerate(texts):
         if len(t) >= LENGTH:
             grams, least = choose(np.frombuffer(t, np.uint8))
@@ -85,9 +86,12 @@ def _anchors(texts: list[bytes]):
             owners.append(np.full(len(at), i))
             positions.append(at)
             keys.append(grams[at])
+            # four grams side by side of the anchor reach as far as its windows
+            beside = [grams[np.clip(at + by, 0, len(grams) - 1)] for by in (1 - SPAN, -GRAM, GRAM, SPAN - 1)]
+            around.append(mix64(mix64(beside[0] + mix64(beside[1])) + mix64(beside[2] + mix64(beside[3]))))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(positions), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in (owners, positions, keys, around))
 
 
 def contexts(text: np.ndarray, repeated: np.ndarray):
