@@ -86,9 +86,8 @@ def _anchors(texts: list[bytes]):
             owners.append(np.full(len(at), i))
             positions.append(at)
             keys.append(grams[at])
-            # four grams side by side of the anchor reach as far as its windows
-            beside = [grams[np.clip(at + by, 0, len(grams) - 1)] for by in (1 - SPAN, -GRAM, GRAM, SPAN - 1)]
-            around.append(mix64(mix64(beside[0] + mix64(beside[1])) + mix64(beside[2] + mix64(beside[3]))))
+            # grams beside the anchor reach as far as its windows; they are hashes already
+            around.append(sum(grams[np.clip(at + by, 0, len(grams) - 1)] * np.uint64(odd) for by, odd in ((1 - SPAN, 3), (-GRAM, 5), (GRAM, 7), (SPAN - 1, 9))))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in (owners, positions, keys, around))
