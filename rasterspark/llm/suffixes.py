@@ -43,13 +43,14 @@ _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def _eights(data: np.ndarray) -> np.ndarray:
     """The big-endian number of the 8 bytes from each place; zeros beyond the end."""
-    out = np.zeros(len(data) + 8, np.uint64)
-    out[: len(data)] = data
-    for step in (1, 2, 4):
-        moved = np.zeros_like(out)
-        moved[:-step] = out[step:]
-        out = (out << np.uint64(8 * step)) | moved
-    return out[: len(data)]
+    return _eights_at(data)[:-1].astype(np.uint64)
+
+
+def _eights_at(data: np.ndarray) -> np.ndarray:
+    """``_eights`` as a view of the bytes, for those who read few places; one place more, at the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -318,31 +319,35 @@ def judge_contexts(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, docs
     return bits
 
 
-_BLOCK = "bucket int, data binary, lengths binary, keys binary, ids binary, times binary, starts binary, known binary"
-_FIELDS = (("data", np.uint8), ("lengths", np.int32), ("keys", np.uint32), ("ids", np.int64), ("times", np.int32), ("starts", np.int32), ("known", np.uint64))
-
-
 def _content(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each span's bytes, by 8-byte steps; equal hashes are compared before they count."""
-    eight = np.concatenate((_eights(data), np.zeros(8, np.uint64)))
     h = mix64(lengths.astype(np.uint64))
     for k in range(0, LENGTH + SPAN, 8):
-        left = np.clip(lengths - k, 0, 8)
-        part = eight[np.minimum(starts + k, len(data))] >> ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)
+        part, left = _step(data, starts, lengths, k)
         h = np.where(left > 0, mix64(h * np.uint64(31) + part), h)
     return h
 
 
+def _step(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int):
+    """(the number of the up to 8 bytes from the k-th of each span, how many these are)."""
+    left = np.clip(lengths - k, 0, 8)
+    eight = _eights_at(data)[np.minimum(starts + k, len(data))].astype(np.uint64)
+    return eight >> ((8 - np.maximum(left, 1)) * 8).astype(np.uint64), left
+
+
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether the spans from a and from b have the same bytes, all of them compared."""
-    eight, same = np.concatenate((_eights(data), np.zeros(8, np.uint64))), np.ones(len(a), bool)
+    same, differ = np.ones(len(a), bool), np.flatnonzero(a != b)
     for k in range(0, LENGTH + SPAN, 8):
-        left = np.clip(lengths - k, 0, 8)
-        shift = ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)
-        same &= (left == 0) | (eight[np.minimum(a + k, len(data))] >> shift == eight[np.minimum(b + k, len(data))] >> shift)
+        (one, left), (two, _) = (_step(data, x[differ], lengths[differ], k) for x in (a, b))
+        same[differ] &= (left == 0) | (one == two)
     return same
 
 
+_BLOCK = "bucket int, data binary, lengths binary, keys binary, ids binary, times binary, starts binary, known binary"
+_FIELDS = (("data", np.uint8), ("lengths", np.int32), ("keys", np.uint32), ("ids", np.int64), ("times", np.int32), ("starts", np.int32), ("known", np.uint64))
+
+
 def removed_starts(docs: DataFrame, wire: Wire, n_buckets: int, common: np.ndarray) -> DataFrame:
     """(doc_id, starts, bits): removed windows, 64 from a start at most. ``docs(doc_id, packed, at)``; ``common``: names of keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_KEYS at most
