@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import Counter
 from functools import cache
 from itertools import chain
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_text, bounded_slices, cut, held, let_go, table
-from .lexicon import Lexicon, Words, compile_lexicon
+from .lexicon import Lexicon, Words, compile_lexicon, compile_words
 from .pretokens import PLACED, WORD, byte_level_pieces, byte_symbols, is_plain, stretch_key, stretch_pieces, stretches
 
 LEXICON_WORDS = 1 << 18
@@ -309,22 +308,47 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    # words seen once can't matter before all others do; a table of count sizes then tells which may be among the first
-    counts = cut(word_counts(docs, text_col).filter("n > 1").withColumn("size", F.floor(F.log2("n")).cast("int")))
-    least, above = 0, 0
+def frequent(counts: DataFrame, size: int) -> DataFrame:
+    """(word, n) of about the ``size`` most frequent words of ``counts(word, n, size)``.
+
+    Tables of count sizes and of counts tell where to cut, so no words are sorted or merged on the
+    driver. Of words with the count at the cut about the share that fits is taken, by hashes.
+    """
+    least, above, more = 0, 0, 0
     for row in sorted(counts.groupBy("size").count().collect(), key=lambda r: -r["size"]):
-        least, above = row["size"], above + row["count"]
-        if above >= size:
+        least, above, more = row["size"], above + more, row["count"]
+        if above + more > size:
+            break
+    else:
+        return counts.select("word", "n")
+    # one row a count between 2^least and twice that
+    for row in sorted(counts.filter(F.col("size") == least).groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        if above + row["count"] > size:
             break
-    rows = counts.filter(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
-    v, words = vocabulary(path), Counter()
-    for row in rows:
-        for piece in byte_level_pieces(" " + row["word"]):
-            words[piece] += row["n"]
-    chosen = sorted(words, key=lambda w: (-words[w], w))[:size]
-    spelt = [b for w in chosen if len(b := w.encode()) <= LEXICON_BYTES]
-    return compile_lexicon(dict(zip(spelt, v.merge_all(Words.of(pa.array(spelt, pa.large_binary()))).lists())))
+        above += row["count"]
+    share = int((size - above) / row["count"] * (1 << 32))
+    return counts.filter((F.col("n") > row["n"]) | ((F.col("n") == row["n"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < share))).select("word", "n")
+
+
+def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
+    """The compiled block. The driver has it all at once, so words stay in arrays and what it took is handed back."""
+    # words seen once can't matter before all others do
+    counts = cut(word_counts(docs, text_col).filter("n > 1").withColumn("size", F.floor(F.log2("n")).cast("int")))
+    parts = []
+    for batch in frequent(counts, size).toArrow().to_batches():
+        own = [byte_level_pieces(" " + word) for word in batch.column(0).to_pylist()]
+        n = np.repeat(batch.column(1).to_numpy(), list(map(len, own)))
+        parts.append(pa.table({"piece": pa.array(chain.from_iterable(own), pa.large_string()).cast(pa.large_binary()), "n": n}).group_by("piece").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}))
+    if not parts:
+        return compile_lexicon({})
+    words = pa.concat_tables(parts).group_by("piece").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("piece", "ascending")])[:size].column("piece")
+    del parts
+    spelt = words.filter(pc.less_equal(pc.binary_length(words), LEXICON_BYTES)).combine_chunks()
+    spelt = Words.of(spelt.take(pc.sort_indices(spelt)))
+    block = compile_words(spelt, Vocabulary(path).merge_all(spelt))
+    del words, spelt
+    let_go()
+    return block
 
 
 def _encoder(path: str, block) -> Encoder:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from array import array
 
 import numpy as np
 
@@ -50,49 +51,63 @@ class Words:
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
-    """Incremental construction from the sorted words (Daciuk and others, 2000)."""
-    register: dict[tuple, int] = {}
-    frozen: list[tuple] = []  # state -> (final, ((byte, state), ...)); children come before parents
-
-    def freeze(node) -> int:
-        key = (node[0], tuple(node[1]))
-        at = register.get(key)
-        if at is None:
-            at = register[key] = len(frozen)
-            frozen.append(key)
+    """``compile_words`` of a dict; an empty word is left out."""
+    ordered = sorted(w for w in words if w)
+    ids = [words[w] for w in ordered]
+    flat = np.frombuffer(b"".join(ordered), np.uint8)
+    return compile_words(Words(flat, list(map(len, ordered))), Words(np.array([i for x in ids for i in x], np.int32), list(map(len, ids))))
+
+
+def compile_words(words: Words, ids: Words) -> bytes:
+    """Incremental construction from the words, distinct and sorted (Daciuk and others, 2000); ``ids`` has a row a word.
+
+    States and edges are kept as numbers in arrays: this runs on the driver, beside its JVM.
+    """
+    register: dict[bytes, int] = {}
+    final, count = bytearray(), array("i")  # of each state; children come before parents
+    owner, byte, target, skip = array("i"), bytearray(), array("i"), array("i")  # of each edge
+
+    def freeze(node: list[int]) -> int:
+        """node: whether a word ends here, then the byte and state of each edge in turn."""
+        at = register.setdefault(array("i", node).tobytes(), len(final))
+        if at == len(final):
+            total = node[0]
+            for b, to in zip(node[1::2], node[2::2]):
+                owner.append(at)
+                byte.append(b)
+                target.append(to)
+                skip.append(total)
+                total += count[to]
+            final.append(node[0])
+            count.append(total)
         return at
 
-    ordered = sorted(w for w in words if w)
-    path, before = [[False, []]], b""  # path[i]: the open state after i bytes of the last word
-    for word in ordered:
+    path, before = [[0]], b""  # path[i]: the open state after i bytes of the last word
+    for row in range(len(words.sizes)):
+        word = words.one(row)
         same = len(os.path.commonprefix([before, word]))
         while len(path) > same + 1:
             at = freeze(path.pop())
-            path[-1][1].append((before[len(path) - 1], at))
-        path += [[False, []] for _ in range(len(word) - same)]
-        path[-1][0] = True
+            path[-1] += (before[len(path) - 1], at)
+        path += [[0] for _ in range(len(word) - same)]
+        path[-1][0] = 1
         before = word
     while len(path) > 1:
         at = freeze(path.pop())
-        path[-1][1].append((before[len(path) - 1], at))
+        path[-1] += (before[len(path) - 1], at)
     root = freeze(path[0])
+    del register
     # the root becomes state 0
-    name = [0 if s == root else s + 1 for s in range(len(frozen))]
-    count, edges = [0] * len(frozen), []
-    for s, (final, children) in enumerate(frozen):
-        total = int(final)
-        for byte, to in children:
-            edges.append((name[s] << 8 | byte, name[to], total))
-            total += count[to]
-        count[s] = total
-    edges.sort()
-    final = np.zeros(len(frozen) + 1, np.uint8)
-    for s, (is_final, _) in enumerate(frozen):
-        final[name[s]] = is_final
-    ids = [words[w] for w in ordered]
+    name = np.arange(1, len(final) + 1)
+    name[root] = 0
+    of = lambda x, kind: np.frombuffer(x, kind)
+    keys = name[of(owner, np.int32)] << 8 | of(byte, np.uint8)
+    order = np.argsort(keys)
+    ends = np.zeros(len(final) + 1, np.uint8)
+    ends[name] = of(final, np.uint8)
     arrays = {
-        "keys": [e[0] for e in edges], "targets": [e[1] for e in edges], "skips": [e[2] for e in edges], "final": final,
-        "offsets": np.concatenate(([0], np.cumsum([len(x) for x in ids]))), "ids": [i for x in ids for i in x],
+        "keys": keys[order], "targets": name[of(target, np.int32)[order]], "skips": of(skip, np.int32)[order], "final": ends,
+        "offsets": np.concatenate(([0], np.cumsum(ids.sizes))), "ids": ids.flat,
     }
     packed = [np.asarray(arrays[k], dtype=_TYPES[k]).tobytes() for k in _PARTS]
     head = np.array([len(p) for p in packed], np.int64).tobytes()

@@ -203,6 +203,33 @@ def test_bpe_on_odd_text():
     assert none.encode(texts)[1].equals(found) and none.encode([])[0].tolist() == []
 
 
+def test_bpe_lexicon_takes_little_of_the_driver(spark):
+    """Words go through arrays on the driver: no rows, lists or tuples of each."""
+    import tracemalloc
+
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9))) for _ in range(50_000)})
+    docs = spark.createDataFrame([(i, " ".join(words[i::100] * 2)) for i in range(100)], "doc_id long, text string")
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    tracemalloc.start()
+    block = bpe.build_lexicon(docs, bpe.vocabulary_path())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block == bpe.compile_lexicon({w.encode(): v.merge(w.encode()) for w in (" " + w for w in words)})
+    assert peak < 60e6  # 44 MB, most of it the vocabulary; 76 MB with rows and lists
+
+
+def test_bpe_lexicon_is_cut_at_a_count(spark):
+    """All words over the count at the cut are taken, a share of those with it, none below; all words if they fit."""
+    n = [9, 8, 7] + [5] * 400 + [4] * 50 + [2] * 30
+    counts = spark.createDataFrame([(f"w{i}", k) for i, k in enumerate(n)], "word string, n long").selectExpr("*", "int(floor(log2(n))) as size")
+    for size in (0, 2, 3, 103, 403, 420, 453, 470, 483, 1000):
+        got = sorted((r["n"] for r in bpe.frequent(counts, size).collect()), reverse=True)
+        cut = n[size] if size < len(n) else 0
+        assert got[: sum(k > cut for k in n)] == [k for k in n if k > cut] and all(k >= cut for k in got)
+        assert abs(len(got) - min(size, len(n))) <= 30 and (len(got) == len(n)) == (size >= len(n))
+
+
 def test_bpe_merges_words_together_as_alone():
     r, v = random.Random(4), bpe.vocabulary(bpe.vocabulary_path())
     words = [bytes(r.choice(b" aaaathenioz\xc3\xa9\xe6012--") for _ in range(r.choice((1, 2, 5, 9, 16, 30, 48, 49, 70)))) for _ in range(3000)] + [b" " * 60, b"a" * 48, b""]
